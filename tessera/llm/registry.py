@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid
+from tessera.llm import langid, packing, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": tokenfile.query,
+    "op5_packing": packing.query,
     "op10_language_id": langid.query,
 }
 ORACLES: dict[str, str] = {}
