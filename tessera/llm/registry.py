@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, packing, tokenfile
+from tessera.llm import decontam, langid, media, packing, quality, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": media.query,
+    "op2_quality": quality.query,
     "op4_token_files": tokenfile.query,
     "op5_packing": packing.query,
+    "op6_decontamination": decontam.query,
+    "op7_substrings": substrings.query,
+    "op9_toxicity": toxicity.query,
     "op10_language_id": langid.query,
 }
 ORACLES: dict[str, str] = {}
