@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, media, packing, quality, substrings, tokenfile, toxicity
+from tessera.llm import decontam, jaccard, langid, media, packing, quality, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.query,
     "op6_decontamination": decontam.query,
     "op7_substrings": substrings.query,
+    "op8_ngram_jaccard": jaccard.query,
     "op9_toxicity": toxicity.query,
     "op10_language_id": langid.query,
 }
