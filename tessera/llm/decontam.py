@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -302,3 +303,15 @@ def cut(data: bytes, spans: list[list[int]]) -> bytes:
         out.append(data[at : starts[a]])
         at = int(ends[b - 1])
     return b"".join([*out, data[at:]])
+
+
+def clean(df: DataFrame, items: list[tuple]) -> DataFrame:
+    """``df`` without the hit words; ``_changed`` marks edited texts. Untouched texts, and null ones, stay as they are."""
+    names = [f.name for f in df.schema]
+
+    def row(given: dict, result: tuple) -> dict:
+        _, data, _, merged, _ = result
+        return given | {"text": cut(data, merged).decode() if merged or given["_text"] else None, "_changed": bool(merged)}
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return scan(df.withColumn("_text", F.col("text").isNotNull()), items, row, f"{fields}, _changed boolean").select(*names, "_changed")

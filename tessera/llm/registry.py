@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, jaccard, langid, media, packing, quality, substrings, tokenfile, toxicity
+from tessera.llm import decontam, jaccard, langid, licenses, media, packing, quality, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.query,
     "op2_quality": quality.query,
+    "op3_licenses": licenses.query,
     "op4_token_files": tokenfile.query,
     "op5_packing": packing.query,
     "op6_decontamination": decontam.query,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.query,
     "op10_language_id": langid.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle()}

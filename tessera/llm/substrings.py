@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORDS, WORDS2, as_bytes, in_chunks, release, saved, signed, word_hashes
+from tessera.llm.common import WORDS, WORDS2, as_bytes, in_chunks, release, saved, signed, word_hashes, word_spans
 
 OCCURRENCE = "anchor long, segment long, doc long, row long, start int, n int"
 
@@ -147,6 +147,31 @@ def digest(df: DataFrame) -> DataFrame:
     return in_chunks(df.select("doc_id", "text", "spans"), step, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def cut(data: bytes, gone: np.ndarray) -> bytes:
+    """A text without the marked words; runs of kept words stay as they were, one space between two runs."""
+    _, starts, ends = word_spans(data)
+    edge = np.flatnonzero(np.diff((~gone).astype(np.int8), prepend=0, append=0))
+    return b" ".join(data[starts[a] : ends[b - 1]] for a, b in zip(edge[0::2], edge[1::2], strict=True))
+
+
+def without(df: DataFrame) -> DataFrame:
+    """``df`` (with ``spans``) without the repeated words; ``_changed`` marks edited texts, untouched ones keep every byte."""
+    kept = [f for f in df.schema if f.name not in ("text", "spans")]
+    df = df.select(*[f.name for f in kept], "text", "spans")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, changed = [], []
+        given = batch.column(len(kept)).to_pylist()
+        for text, data, spans in zip(given, as_bytes(batch.column(len(kept))), batch.column(len(kept) + 1).to_pylist(), strict=True):
+            found = own(spans, data)
+            changed.append(bool(found))
+            texts.append(cut(data, removed(len(data.split()), found)).decode() if found else text)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(changed)], names=[*batch.schema.names[:-1], "_changed"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return in_chunks(df, step, f"{fields}, text string, _changed boolean")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digest(with_spans(docs))
