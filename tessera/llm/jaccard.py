@@ -47,9 +47,9 @@ def shingles(data: bytes, k: int) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that fall on each of 256 * 2**c bits, at least two bits a token."""
+    """Parity of the tokens that fall on each of 256 * 2**c bits, at least a bit a token."""
     bits = 256
-    while bits < 2 * len(tokens):
+    while bits < len(tokens):
         bits *= 2
     odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
@@ -247,20 +247,26 @@ def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int
     release(spark)
     under = saved(postings.join(lists, "token").select("lead", "doc").distinct(), "under")
     release(spark)
-    size = under.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = under.join(saved(size, "sizes"), "lead").join(reps.select("doc", "n", "bits"), "doc")
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("lead", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "n", "bits")
-    members = saved(dealt, "members")
+    sizes = saved(under.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+
+    def members(under: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """Every (lead, document) under each pair of blocks of the lead that holds the document's block."""
+        at = under.join(sizes, "lead").join(reps.select("doc", "n", "bits"), "doc")
+        at = at.withColumn("comp", F.col("doc")) if comps is None else at.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        at = at.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return at.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+
     links, comps, texts = None, None, None
     for lo, hi in ((0, few), (few, more), (more, 1 << 62)):
-        known = members.withColumn("comp", F.col("doc")) if comps is None else members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        found = saved(candidates(known, num, den, lo, hi, comps is not None), "pairs")
+        found = saved(candidates(members(under, comps), num, den, lo, hi, comps is not None), "pairs")
+        release(spark)
         pairs = found.where("mark = 0").select("a", "b")
         if texts is None:
-            touched = found.where("mark = 2").select(F.col("a").alias("doc_id")).distinct()
-            texts = saved(df.select("doc_id", "text").join(touched, "doc_id"), "texts")
+            touched = saved(found.where("mark = 2").select(F.col("a").alias("doc")).distinct(), "touched")
+            texts = saved(df.select("doc_id", "text").join(touched.withColumnRenamed("doc", "doc_id"), "doc_id"), "texts")
             release(spark)
+            # a document without any candidate has none in a later round either
+            under = under.join(touched, "doc", "left_semi")
         if not pairs.isEmpty():
             new = saved(verified(pairs, texts, k, num, den).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
             links = new if links is None else links.union(new)
