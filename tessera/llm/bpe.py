@@ -40,6 +40,17 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """Ids of units; a unit asked for the first time is encoded then."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = self.make(unit)
+        return ids
+
+
 class Encoder:
     """``room`` bounds the remembered units of this process."""
 
@@ -50,47 +61,33 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
-        self.room, self.memory, self.words, self.tails = room, {}, {}, {}
+        self.room, self.memory, self.words, self.tails = room, Memory(self.unit), {}, {}
         line = self.tok.encode("a\nb", add_special_tokens=False).ids
         self.by_unit = len(line) == 3 and self.tok.get_vocab_size() <= 65536 and line[1].to_bytes(2, "little") == LINE
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.uint32).astype(np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, core: str, mark: str) -> bytes:
-        """Ids of a run of letters, with its leading space as the byte-level mark."""
-        if not core.isascii():
-            core = "".join(map(BYTE_CHARS.__getitem__, core.encode()))
-        return array("H", [x.id for x in self.model.tokenize(mark + core)]).tobytes()
-
-    def _learn(self, units: set[str], into: dict[str, bytes]) -> None:
-        """Encode new units: a run of letters with marks after it by the model, anything else by the whole tokeniser."""
-        words, other = self.words, []
-        if len(words) > self.room:
-            words.clear()
-        for u in units:
-            first = u[0]
-            core = u[1:] if first == " " or first == "\n" else u
-            tail = ""
-            if not core.isalpha():
-                body = core.rstrip(TAIL)
-                tail, core = core[len(body) :], body
-                if not core.isalpha():
-                    other.append(u)
-                    continue
-            key = MARK + core if first == " " else core
-            ids = words.get(key)
-            if ids is None:
-                ids = words[key] = self._word(core, MARK if first == " " else "")
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole([tail])[0]
-                ids = ids + self.tails[tail]
-            into[u] = LINE + ids if first == "\n" else ids
-        for i in range(0, len(other), 100):
-            part = other[i : i + 100]
-            for u, ids in zip(part, self._whole(part), strict=True):
-                into[u] = ids
+    def unit(self, u: str) -> bytes:
+        """Ids of a new unit: a run of letters with marks after it by the model, anything else by the whole tokeniser."""
+        first = u[0]
+        core = u[1:] if first == " " or first == "\n" else u
+        tail = b""
+        if not core.isalpha():
+            body = core.rstrip(TAIL)
+            if not body.isalpha():
+                return self._whole([u])[0]
+            tail = core[len(body) :]
+            core = body
+            tail = self.tails.get(tail) or self.tails.setdefault(tail, self._whole([tail])[0])
+        mark = MARK if first == " " else ""
+        key = mark + core
+        ids = self.words.get(key)
+        if ids is None:
+            if not core.isascii():
+                key = mark + "".join(map(BYTE_CHARS.__getitem__, core.encode()))
+            ids = self.words[mark + core] = array("H", [x.id for x in self.model.tokenize(key)]).tobytes()
+        return (LINE + ids if first == "\n" else ids) + tail
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint16; null counts as empty."""
@@ -98,22 +95,17 @@ class Encoder:
         if not self.by_unit:
             return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.memory) > self.room:
-            self.memory = {}
-        known, out = self.memory, [b""] * len(texts)
-        whole = [i for i, x in enumerate(texts) if x and (any(map(x.__contains__, RUNS)) or x[0].isspace() or x[-1].isspace())]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        skip, split, new = set(whole), {}, set()
-        for i, x in enumerate(texts):
-            if x and i not in skip:
-                split[i] = units = x.replace(" ", "\x00 ").replace("\n", "\x00\n").split(CUT)
-                new.update(units)
-        new.difference_update(known)
-        if new:
-            self._learn(new, known)
-        get = known.__getitem__
-        for i, units in split.items():
-            out[i] = b"".join(map(get, units))
+            self.memory.clear()
+        if len(self.words) > self.room:
+            self.words.clear()
+        get, out = self.memory.__getitem__, []
+        for x in texts:
+            if not x:
+                out.append(b"")
+            elif any(map(x.__contains__, RUNS)) or x[0].isspace() or x[-1].isspace():
+                out.append(self._whole([x])[0])
+            else:
+                out.append(b"".join(map(get, x.replace(" ", "\x00 ").replace("\n", "\x00\n").split(CUT))))
         return [np.frombuffer(x, dtype=np.uint16) for x in out]
 
 
