@@ -7,6 +7,7 @@ modulo 2**64, so that the hash of any slice comes from two prefix sums and one m
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,13 +73,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def in_chunks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Narrow Arrow pass: one output batch for each input batch."""
+def trim() -> None:
+    """Give freed memory back to the system, so that what one task needed does not weigh on the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def in_chunks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
+    """Narrow Arrow pass: ``step`` makes one output batch of each slice of at most ``rows`` input rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+            for i in range(0, batch.num_rows, rows):
+                if (out := step(batch.slice(i, rows))) is not None:
+                    yield out
+        trim()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, U64, WORDS, WORDS2, as_bytes, in_chunks, release, saved, signed, word_hashes
+from tessera.llm.common import LOWER, U64, WORDS, WORDS2, as_bytes, in_chunks, release, saved, signed, trim, word_hashes
 from tessera.shipping import ship
 
 CELLS, SLICE = 1 << 18, 1 << 13
@@ -192,6 +192,7 @@ def candidates(members: DataFrame, num: int, den: int, lo: int, hi: int, derive:
             yield pairs(table, whole=False)
         if held:
             yield pairs(pa.Table.from_batches(held), whole=True)
+        trim()
 
     ship(members.sparkSession)
     dealt = members.select("lead", "i", "j", "side", "doc", "n", "comp", "bits").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "doc")

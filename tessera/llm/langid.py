@@ -137,7 +137,7 @@ def unseen(model: Model, words: list[str]) -> np.ndarray:
 class Predictor:
     """Scores texts; remembers the vectors of unseen words, up to ``room`` of them."""
 
-    def __init__(self, model: Model, room: int = 200_000):
+    def __init__(self, model: Model, room: int = 100_000):
         self.model, self.room, self.base = model, room, len(model.words)
         self.at, self.vectors = dict(model.words), [model.word_scores]
         self.size = self.base
@@ -170,7 +170,7 @@ class Predictor:
         return langs, scores
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", slice_rows: int = 500) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score added; columns of those names in ``df`` are replaced."""
     df = df.drop("lang_pred", "score")
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -180,15 +180,11 @@ def predict(df: DataFrame, model: Model, text: str = "text", slice_rows: int = 5
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not memo:
             memo.append(Predictor(shared.value))
-        langs, scores = [], []
-        for i in range(0, batch.num_rows, slice_rows):
-            a, b = memo[0](batch.column(at).slice(i, slice_rows).to_pylist())
-            langs += a
-            scores += b
+        langs, scores = memo[0](batch.column(at).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return in_chunks(df, step, f"{fields}, lang_pred string, score double")
+    return in_chunks(df, step, f"{fields}, lang_pred string, score double", rows=500)
 
 
 def learnable(docs: DataFrame, key: Column | None = None) -> DataFrame:
