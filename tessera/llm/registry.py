@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, jaccard, langid, licenses, media, packing, quality, substrings, tokenfile, toxicity
+from tessera.llm import decontam, jaccard, langid, licenses, media, packing, quality, sql, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.query,
@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.query,
     "op10_language_id": langid.query,
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op6_decontamination": sql.DECONTAMINATION, "op7_substrings": sql.SUBSTRINGS, "op8_ngram_jaccard": sql.JACCARD}

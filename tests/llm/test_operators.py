@@ -237,8 +237,9 @@ def test_licenses_inherit(spark):
     assert got == Counter({("a/LICENSE", "MIT", "own", None): 1, ("a/b/x.py", "Proprietary", "inherited", "a/b"): 2, ("a/b/c/y.py", "Apache-2.0", "own", None): 1, ("a/b/COPYING.txt", "Proprietary", "own", None): 1, ("a/b/c/z.py", "Proprietary", "inherited", "a/b"): 1, ("z.py", None, "none", None): 1, (None, None, "none", None): 1})
 
 
-def test_license_query_agrees_with_sql(spark, sf_dir):
-    assert same(registry.QUERIES["op3_licenses"](spark, sf_dir), registry.ORACLES["op3_licenses"], sf_dir) == ""
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_agrees_with_sql(spark, sf_dir, name):
+    assert same(registry.QUERIES[name](spark, sf_dir), registry.ORACLES[name], sf_dir) == ""
 
 
 def test_language_edges(spark):
