@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, fold, hash_sample, in_chunks, mix
+from tessera.llm.common import U64, fold, hash_sample, in_chunks, mix, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -89,10 +89,10 @@ def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: in
     counts = in_chunks(sample, lambda b: counted(b, max_n), "lang string, n int, word string, key long, count long")
     counts = counts.groupBy("n", "word", "key", "lang").agg(F.sum("count").alias("count"))
     by_key = counts.groupBy("n", "word", "key").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
+    by_key = saved(by_key.where(F.col("total") >= min_count), "langcounts")
     found, langs = [], set()
     for n in range(max_n + 1):
-        part = by_key.where((F.col("n") == n) & (F.col("total") >= min_count))
-        found.append(part.orderBy(F.desc("total"), "word", "key").limit(max_entries).select("word", "key", "by").toArrow())
+        found.append(by_key.where(F.col("n") == n).orderBy(F.desc("total"), "word", "key").limit(max_entries).select("word", "key", "by").toArrow())
         for x in found[-1].column("by").to_pylist():
             langs.update(k for k, _ in x)
     langs = sorted(langs)
