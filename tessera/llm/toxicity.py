@@ -56,7 +56,7 @@ def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
             p.update(words)
         if drawn:
             u.update(words)
-    words = list(p)  # a word that no confirmed row has says nothing for the positive class
+    words = list(p | u)  # all of U's words too: another batch may hold the confirmed rows of a word
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([p[w] for w in words], pa.int64()), pa.array([u[w] for w in words], pa.int64())], names=["word", "p", "u"])
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import same
 from pyspark.sql import functions as F
@@ -282,6 +283,23 @@ def test_classifiers_without_labels(spark, corpus):
     assert {r["score"] for r in quality.score(corpus, quality.train(corpus, none)).collect()} == {0.5}
 
 
+def test_toxicity_counts_do_not_depend_on_batches():
+    rows = [("bad word", True, True), ("word here", False, True), ("word", False, True), ("bad", True, False), (None, False, True)]
+
+    def totals(parts):
+        p, u = Counter(), Counter()
+        for part in parts:
+            for word, a, b in zip(*(c.to_pylist() for c in toxicity.counted(pa.RecordBatch.from_pylist([dict(zip("tpd", r, strict=True)) for r in part], schema=kinds)).columns), strict=True):
+                p[word] += a
+                u[word] += b
+        return p, u
+
+    kinds = pa.schema([("t", pa.string()), ("p", pa.bool_()), ("d", pa.bool_())])
+    whole = totals([rows])
+    assert whole == totals([[r] for r in rows]) == totals([rows[:2], rows[2:]])
+    assert whole[0][b"bad"] == 2 and whole[1][b"word"] == 3 and whole[1][b"bad"] == 1
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     s = rng.normal(size=500)
