@@ -16,7 +16,8 @@ KEY = ["tenant_id", "interaction_id"]
 
 class SnapshotTable:
     """A table as numbered directories under one path; the newest complete one is current, so a reader never sees a
-    half-written state and a replayed batch rewrites its own number."""
+    half-written state. A directory's name ends in the writer's tag: a write with the newest one's tag is a replay and
+    takes its place, any other goes on from it."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -25,39 +26,45 @@ class SnapshotTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def numbers(self) -> list[int]:
+    def snapshots(self) -> list[tuple[int, str]]:
+        """(number, tag) of the complete ones, ascending."""
         fs, p = self._fs()
         if not fs.exists(p):
             return []
         done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit() and fs.exists(done(f"{s.getPath().toString()}/_SUCCESS")))
+        names = [(s.getPath().getName().partition("-"), s.getPath().toString()) for s in fs.listStatus(p)]
+        return sorted((int(n), tag) for (n, _, tag), path in names if n.isdigit() and fs.exists(done(f"{path}/_SUCCESS")))
 
-    def read(self, before: int | None = None) -> DataFrame:
-        found = [n for n in self.numbers() if before is None or n < before]
+    def read(self, tag: str | None = None) -> DataFrame:
+        """The current state; with a ``tag``, the state that a write with this tag starts from."""
+        found = [x for x in self.snapshots() if tag is None or x[1] != tag]
         if not found:
             return self.spark.createDataFrame([], S.struct(self.schema))
-        return self.spark.read.schema(S.struct(self.schema)).parquet(f"{self.path}/{found[-1]}")
+        return self.spark.read.schema(S.struct(self.schema)).parquet(f"{self.path}/{found[-1][0]}-{found[-1][1]}")
 
-    def write(self, df: DataFrame, number: int, keep: int = 3) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{number}")
+    def write(self, df: DataFrame, tag: str, keep: int = 3) -> None:
+        last, newest = (self.snapshots() or [(-1, None)])[-1]
+        df.write.mode("overwrite").parquet(f"{self.path}/{last if newest == tag else last + 1}-{tag}")
         fs, _ = self._fs()
-        for n in self.numbers()[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)
+        for n, old in self.snapshots()[:-keep]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}-{old}"), True)
 
 
 def merge_interactions(table: SnapshotTable, rejects: str | None = None) -> Callable[[DataFrame, int], None]:
-    """The foreachBatch function. The state before batch n is the newest snapshot below n, so running n again gives the
-    same table."""
+    """The foreachBatch function. A snapshot's tag is the query's id, which lasts as long as its checkpoint, and the
+    batch's number: running a batch again gives the same table, and a new query goes on from what others left."""
 
     def step(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        tag = f"{query}-{number}"
         good, bad = parse_records(batch)
         good, invalid = validate(good)
         new = one_row(to_interaction(good), KEY, F.struct("timestamp", F.xxhash64("content_text")))
-        before = table.read(before=number)
-        table.write(upsert(before, new, KEY, update=[], fill=["title", "content_text", "trace_id", "account_id"]), number)
+        before = table.read(tag)
+        table.write(upsert(before, new, KEY, update=[], fill=["title", "content_text", "trace_id", "account_id"]), tag)
         if rejects:
             both = bad.select(F.col("body").alias("record"), "reason").unionAll(invalid.select(F.to_json(F.struct("tenant_id", "interaction_id", "source")), "reason"))
-            both.write.mode("overwrite").json(f"{rejects}/{number}")
+            both.write.mode("overwrite").json(f"{rejects}/{tag}")
 
     return step
 

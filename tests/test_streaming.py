@@ -23,6 +23,22 @@ def test_stream_and_replay(spark, tmp_path):
     # the same files once more, as a new stream over the same state
     stream(spark, str(src), str(tmp_path / "cp2"), merge_interactions(table)).awaitTermination()
     assert table.read().count() == 3
+    # other files, as a new stream whose batches count from 0 again: what was there stays
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "1.txt").write_text(record(5))
+    stream(spark, str(tmp_path / "more"), str(tmp_path / "cp3"), merge_interactions(table)).awaitTermination()
+    assert sorted(r["interaction_id"] for r in table.read().collect()) == ["i1", "i2", "i3", "i5"]
+    assert all(tag.rpartition("-")[0] not in ("", "None") for _, tag in table.snapshots())
+
+
+def test_replayed_batch_takes_its_own_place(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "state"), "k string, v int")
+    one, two = (spark.createDataFrame([("k", n)], "k string, v int") for n in (1, 2))
+    table.write(one, "q-0")
+    table.write(one.union(two), "q-1")
+    assert table.read("q-1").count() == 1
+    table.write(table.read("q-1").union(two), "q-1")
+    assert table.read().count() == 2 and [n for n, _ in table.snapshots()] == [0, 1]
 
 
 def test_sources(spark, tmp_path):
