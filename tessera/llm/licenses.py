@@ -1,10 +1,20 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Native: DataFrame functions only. A text's candidate lines (those with a cue word that every template has at least
-one of) become sparse TF-IDF vectors over the templates' vocabulary; a word that no template has counts with the
-largest idf. The best template at or above ``least`` cosine is the line's license, the best line the file's. A file
-named like a license file lends its license to its directory and all below; a file without a license of its own takes
-that of its nearest ancestor directory. Ancestors are joined by path, over distinct directories rather than files.
+Native: DataFrame functions only. A text is read in four ways:
+
+* SPDX tags, by their identifier.
+* Passages of license texts and headers (the notice or the opening of each), as spans of words wherever the lines end.
+* Single lines with a cue word that every line template has at least one of.
+* Notices of a few words, as spans inside longer or wrapped lines.
+
+Lines and spans become sparse TF-IDF vectors over their templates' vocabulary; a word that no template has counts with
+the largest idf. A span is as long as its template and laid so that an anchor word falls on the template's; it needs
+certain words (the license's name and version) and may not have others (those of a sister license), so that a version
+that has no template is not given another one's name. The best template at or above ``least`` (lines) or
+``span_least`` cosine is the text's license; the ways count in the order above, and "all rights reserved" after any
+named license. A file named like a license file lends its license to its directory and all below; a file without a
+license of its own takes that of its nearest ancestor directory. Ancestors are joined by path, over distinct directories
+rather than files.
 
 Edge cases: null and empty texts have no license of their own; a null path inherits nothing; of several license files
 in a directory the best score counts, then the first name; equal scores go to the template that sorts first; repeated
@@ -13,8 +23,10 @@ rows are each reported; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +45,46 @@ TEMPLATES = [
     ("Proprietary", "all rights reserved"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+#: Spans: license, words needed, words barred, anchor, text. Those of PASSAGES are of license texts and headers.
+PASSAGES = [
+    ("Apache-2.0", "apache 2.0 compliance", "", "apache", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("Apache-2.0", "apache 2.0 reproduction", "", "apache", "apache license version 2.0 january 2004 http www.apache.org licenses terms and conditions for use reproduction and distribution"),
+    ("BSD-3-Clause", "redistribution binary neither endorse", "", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("CC-BY-NC-4.0", "noncommercial 4.0 licensed", "sharealike noderivatives noderivs", "licensed", "licensed under a creative commons attribution noncommercial 4.0 international license"),
+    ("CC-BY-NC-4.0", "noncommercial 4.0 firm", "sharealike noderivatives noderivs", "noncommercial", "attribution noncommercial 4.0 international creative commons corporation creative commons is not a law firm and does not provide legal services or legal advice"),
+    ("CC0-1.0", "waived neighboring", "", "waived", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC0-1.0", "purpose jurisdictions exclusive", "", "jurisdictions", "statement of purpose the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights defined below upon the creator and subsequent owner s"),
+    ("GPL-3.0", "gnu general redistribute 3", "lesser affero", "gnu", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("GPL-3.0", "gnu general verbatim 29 june 2007", "lesser affero", "general", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc https fsf.org everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("ISC", "fee granted copies", "", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("LGPL-2.1", "gnu lesser redistribute 2.1", "", "gnu", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("LGPL-2.1", "gnu lesser verbatim 2.1 february 1999", "", "lesser", "gnu lesser general public license version 2.1 february 1999 copyright c 1991 1999 free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("MIT", "granted charge sublicense", "", "granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("MPL-2.0", "mozilla mpl 2.0", "", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("MPL-2.0", "mozilla 2.0 covered", "", "mozilla", "mozilla public license version 2.0 1 definitions 1.1 contributor means each individual or legal entity that creates contributes to the creation of or owns covered software"),
+    ("Unlicense", "unencumbered domain compile", "", "unencumbered", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+]
+NOTICES = [
+    ("Apache-2.0", "apache 2.0", "", "apache", "licensed under the apache license version 2.0"),
+    ("Apache-2.0", "apache 2.0", "", "apache", "under the apache license 2.0"),
+    ("CC-BY-NC-4.0", "cc nc 4.0", "sa nd", "cc", "licensed under cc by nc 4.0"),
+    ("CC0-1.0", "dedicated domain", "", "dedicated", "to the extent possible under law the author has dedicated this work to the public domain"),
+    ("GPL-3.0", "gnu general 3", "lesser affero", "gnu", "licensed under the gnu general public license version 3"),
+    ("GPL-3.0", "gnu general v3", "lesser affero", "gnu", "licensed under the gnu general public license v3"),
+    ("LGPL-2.1", "lesser 2.1", "", "lesser", "licensed under the gnu lesser general public license version 2.1"),
+    ("MIT", "mit", "", "mit", "released under the mit license"),
+    ("MIT", "mit under", "", "mit", "under the mit license"),
+    ("MPL-2.0", "mozilla 2.0", "", "mozilla", "subject to the terms of the mozilla public license version 2.0"),
+    ("MPL-2.0", "mozilla 2.0", "", "mozilla", "licensed under the mozilla public license version 2.0"),
+    ("Unlicense", "unencumbered domain", "", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("Proprietary", "all rights reserved", "", "reserved", "all rights reserved"),
+]
+#: SPDX identifiers in lower case, without "-only", "-or-later" or "+".
+SPDX = {name.lower(): name for name, _ in TEMPLATES if name != "Proprietary"}
+TAG = r"spdx-license-identifier\s*:[\s(]*([a-z0-9.-]+)"
 CUE = "licens|rights reserved|public domain|redistribution and use|hereby granted"
+#: Every span has one of these words, on a line of its own or not.
+WIDE = "licens|reserved|domain|granted|redistribution|waived|jurisdictions|noncommercial"
 SPLIT = "[^a-z0-9.]+"
 FILES = "^(license|licence|copying)([.].*)?$"
 
@@ -62,27 +113,81 @@ def as_map(d: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in kv])
 
 
-def detect(df: DataFrame, text: str = "text", least: float = 0.6, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``df`` with own_license and own_score (null if no line reaches ``least``)."""
+def in_words(line: Column) -> Column:
+    return F.filter(F.transform(F.split(F.lower(line), SPLIT), lambda t: F.regexp_replace(t, "^[.]+|[.]+$", "")), lambda t: t != "")
+
+
+def tf_idf(words: Column, idf_map: Column, unknown: float) -> Column:
+    """Array of (t, w) for the distinct words."""
+    return F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), (F.size(F.filter(words, lambda x: x == t)) * F.coalesce(F.try_element_at(idf_map, t), F.lit(unknown))).alias("w")))
+
+
+def length(counted: Column) -> Column:
+    return F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+
+
+def dot(counted: Column, v: dict[str, float]) -> Column:
+    m = as_map(v)
+    return F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def in_spans(words: Column, spans: list[tuple[str, str, str, str, str]], rank: int, least: float) -> Column:
+    """The best (rank, score, first, license) of the spans laid by an anchor that have the words needed, none of those
+    barred, and ``least`` cosine; else null."""
+    idf, unknown, vectors = weights([(s[0], s[4]) for s in spans])
+    rows = [{"rank": rank if name != "Proprietary" else 0, "first": -k, "license": name, "need": need.split(), "bar": bar.split(), "anchor": anchor, "at": tokens(text).index(anchor), "size": len(tokens(text)), "v": v} for k, ((name, need, bar, anchor, text), (_, v)) in enumerate(zip(spans, vectors, strict=True))]
+    kind = "rank int, first int, license string, need array<string>, bar array<string>, anchor string, at int, size int, v map<string,double>"
+    table, idf_map = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>"), F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
+
+    def scored(w: Column, s: Column) -> Column:
+        score = bound(tf_idf(w, idf_map, unknown), lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(s["v"], x["t"]), F.lit(0.0))) / length(c), 6))
+        return F.struct(s["rank"].alias("rank"), score.alias("score"), s["first"].alias("first"), s["license"].alias("license"))
+
+    def of(s: Column, words: Column, anchors: Column) -> Column:
+        cut = F.transform(F.filter(anchors, lambda a: a["t"] == s["anchor"]), lambda a: F.slice(words, F.greatest(a["i"] - s["at"], F.lit(0)) + 1, s["size"]))
+        fit = F.filter(cut, lambda w: F.forall(s["need"], lambda x: F.array_contains(w, x)) & ~F.exists(s["bar"], lambda x: F.array_contains(w, x)))
+        return F.transform(fit, lambda w: scored(w, s))
+
+    anchors = F.filter(F.transform(words, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda a: a["t"].isin(sorted({s[3] for s in spans})))
+    found = bound(anchors, lambda at: F.flatten(F.transform(table, lambda s: of(s, words, at))))
+    return F.array_max(F.filter(found, lambda x: x["score"] >= least))
+
+
+def tagged(text: Column) -> Column:
+    """(rank, score, first, license) of the first SPDX tag that is known, else null."""
+    ids = F.transform(F.regexp_extract_all(F.lower(text), F.lit(TAG), 1), lambda x: F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(SPDX.items()) for x in kv]), F.regexp_replace(x, "-only$|-or-later$", "")))
+    name = F.try_element_at(F.filter(ids, lambda x: x.isNotNull()), F.lit(1))
+    return F.when(name.isNotNull(), F.struct(F.lit(4).alias("rank"), F.lit(1.0).alias("score"), F.lit(0).alias("first"), name.alias("license")))
+
+
+def detect(df: DataFrame, text: str = "text", least: float = 0.6, templates: list[tuple[str, str]] | None = None, span_least: float = 0.8) -> DataFrame:
+    """``df`` with own_license and own_score (null if nothing reaches its least cosine). With ``templates`` of the
+    caller's own only lines are read, as the passages, notices and tags belong to the fixed licenses."""
     idf, unknown, vectors = weights(templates or TEMPLATES)
     idf_map = as_map(idf)
 
     def best(line: Column) -> Column:
-        words = F.filter(F.transform(F.split(F.lower(line), SPLIT), lambda t: F.regexp_replace(t, "^[.]+|[.]+$", "")), lambda t: t != "")
-        counted = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), (F.size(F.filter(words, lambda x: x == t)) * F.coalesce(F.try_element_at(idf_map, t), F.lit(unknown))).alias("w")))
-        norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-
-        def dot(v: dict[str, float]) -> Column:
-            m = as_map(v)
-            return F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(m, x["t"]), F.lit(0.0)))
-
+        counted = tf_idf(in_words(line), idf_map, unknown)
+        norm = length(counted)
         # of equal scores the first template has the largest number
-        each = [F.struct(F.round(dot(v) / norm, 6).alias("score"), F.lit(-i).alias("first"), F.lit(name).alias("license")) for i, (name, v) in enumerate(vectors)]
+        each = [F.struct(F.round(dot(counted, v) / norm, 6).alias("score"), F.lit(-i).alias("first"), F.lit(name).alias("license")) for i, (name, v) in enumerate(vectors)]
         return F.array_max(F.array(*each))
 
     lines = F.when(F.lower(text).rlike(CUE), F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(CUE)))
-    top = F.array_max(F.filter(F.transform(lines, best), lambda b: b["score"] >= least))
-    return df.withColumn("_top", top).withColumn("own_license", F.col("_top.license")).withColumn("own_score", F.col("_top.score")).drop("_top")
+    df = df.withColumn("_line", F.array_max(F.filter(F.transform(lines, best), lambda b: b["score"] >= least)))
+    if templates:
+        return df.withColumn("own_license", F.col("_line.license")).withColumn("own_score", F.col("_line.score")).drop("_line")
+    rank = F.when(F.col("_line.license") == "Proprietary", 0).otherwise(2)
+    line = F.when(F.col("_line").isNotNull(), F.struct(rank.alias("rank"), F.col("_line.score").alias("score"), F.col("_line.first").alias("first"), F.col("_line.license").alias("license")))
+    spans = bound(in_words(F.col(text)), lambda w: F.array_max(F.array(in_spans(w, PASSAGES, 3, span_least), in_spans(w, NOTICES, 1, span_least))))
+    found = [line, F.when(F.lower(text).rlike(WIDE), F.array_max(F.array(tagged(F.col(text)), spans)))]
+    df = df.withColumn("_top", F.array_max(F.array(*found)))
+    return df.withColumn("own_license", F.col("_top.license")).withColumn("own_score", F.col("_top.score")).drop("_line", "_top")
 
 
 def directory(path: Column) -> Column:

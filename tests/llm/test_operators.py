@@ -238,6 +238,28 @@ def test_licenses_inherit(spark):
     assert got == Counter({("a/LICENSE", "MIT", "own", None): 1, ("a/b/x.py", "Proprietary", "inherited", "a/b"): 2, ("a/b/c/y.py", "Apache-2.0", "own", None): 1, ("a/b/COPYING.txt", "Proprietary", "own", None): 1, ("a/b/c/z.py", "Proprietary", "inherited", "a/b"): 1, ("z.py", None, "none", None): 1, (None, None, "none", None): 1})
 
 
+MIT_TEXT = """Copyright (c) 2020 Some One. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public
+# License as published by the Free Software Foundation, either version {} of
+# the License, or (at your option) any later version."""
+
+
+def test_licenses_in_wrapped_headers_texts_and_long_lines(spark):
+    prose = "word " * 200
+    rows = [("m/LICENSE", MIT_TEXT, "MIT"), ("m/x.py", "no", "MIT"), ("g.py", GPL_HEADER.format("", 3), "GPL-3.0"), ("l.py", GPL_HEADER.format("Lesser ", 2.1), "LGPL-2.1")]
+    rows += [("l3.py", GPL_HEADER.format("Lesser ", 3), None), ("s.py", "x\n// SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0"), ("n.py", f"{prose}released under the MIT License {prose}", "MIT"), ("w.py", f"{prose}licensed under the Apache\n License, Version 2.0 {prose}", "Apache-2.0"), ("o.py", f"{prose} granted, reserved {prose}", None)]
+    got = {r["path"]: r["license"] for r in licenses.inherit(licenses.detect(spark.createDataFrame([r[:2] for r in rows], "path string, text string"))).collect()}
+    assert got == {path: name for path, _, name in rows}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_agrees_with_sql(spark, sf_dir, name):
     assert same(registry.QUERIES[name](spark, sf_dir), registry.ORACLES[name], sf_dir) == ""
