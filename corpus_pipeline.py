@@ -33,10 +33,13 @@ def _edited(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found (null text, or no letter); fills a missing lang with the prediction."""
+    """Drops documents with a null text or without a letter; fills a missing lang with the prediction, if there is any row to learn from."""
     model = langid.train(langid.learnable(docs))
     _, rest = _rest(docs)
-    found = langid.predict(docs.select("doc_id", "text", rest.alias("_rest")), model).where(F.col("lang_pred") != langid.UNKNOWN)
+    whole = docs.select("doc_id", "text", rest.alias("_rest"))
+    if not model.langs:
+        return _back(langid.lettered(whole), docs)
+    found = langid.predict(whole, model).where(F.col("lang_pred") != langid.UNKNOWN)
     return _back(found, docs, **({"lang": F.coalesce(F.col("_rest").getField("lang"), F.col("lang_pred"))} if "lang" in docs.columns else {}))
 
 

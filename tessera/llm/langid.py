@@ -187,6 +187,16 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return in_chunks(df, step, f"{fields}, lang_pred string, score double", rows=500)
 
 
+def lettered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a letter, as ``predict`` sees letters."""
+    at = df.columns.index(text)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([bool(x) and WORD.search(x.lower()) is not None for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return in_chunks(df, step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), rows=500)
+
+
 def learnable(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """Rows from whose lang a model may learn: crc32 of the id as text, modulo 4, is not 2."""
     return docs.where((fold(F.col("doc_id") if key is None else key, 4) != 2) & F.col("lang").isNotNull())

@@ -50,3 +50,9 @@ def test_stages(spark, setting):
 
 def test_run(spark, setting):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, setting[0]).collect()} == {1, 6, 7, 8, 9}
+
+
+def test_language_of_a_table_without_lang(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "12 !!", None), (4, "", None), (None, "é", None)]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "some words", None), (None, "é", None)]
