@@ -44,11 +44,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group linked at Jaccard 0.8 or more over five-word shingles the document of smallest id, once; documents without an id stay."""
-    groups = jaccard.linked(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    first = groups.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("doc_id")).distinct()
-    kept = docs.join(saved(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """Keeps of each group of texts linked at Jaccard 0.8 or more over five-word shingles the one of smallest id, once; documents without an id stay."""
+    first = jaccard.firsts(docs.select("doc_id", "text"), k=5, num=80, den=100)
+    _, rest = _rest(docs)
+    rows = docs.select("doc_id", "text", rest.alias("_rest"), F.xxhash64("text").alias("th"))
+    kept = rows.join(saved(first, "first"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return _back(kept, docs).union(docs.where(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

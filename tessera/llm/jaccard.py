@@ -19,7 +19,8 @@ Large groups are cut into blocks by hash, and each pair of blocks is a task's un
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and are their own component; a text of
 fewer words than a shingle has one shingle, all its words; rows with a null id are never linked and have a null
-component; rows that repeat an id count as one node; an empty table gives an empty result.
+component; rows that repeat an id count as one node, to which the links of every text of theirs hold; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tessera.llm.common import LOWER, U64, WORDS, WORDS2, as_bytes, in_chunks, r
 from tessera.shipping import ship
 
 CELLS, SLICE = 1 << 18, 1 << 13
-SETS = "doc long, n int, h1 long, h2 long, bits binary, prefix array<long>"
+SETS = "doc long, th long, n int, h1 long, h2 long, bits binary, prefix array<long>"
 
 
 def shingles(data: bytes, k: int) -> np.ndarray:
@@ -91,24 +92,25 @@ def sketch(df: DataFrame, k: int) -> np.ndarray:
 
 
 def sets(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """One row a document: size, 128-bit identity, bitmap and prefix of its set."""
+    """One row a document: hash of its text, size, 128-bit identity, bitmap and prefix of its set. An empty set, which
+    links with nothing, has the identity of its row."""
     heavy = df.sparkSession.sparkContext.broadcast(sketch(df, k))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+        for doc, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
             t = shingles(data, k)
             n = len(t)
             if not n:
-                rows.append((doc, 0, 0, 0, b"", []))
+                rows.append((doc, th, 0, doc or 0, th, b"", []))
                 continue
             same = [int(signed(r.slices(t, np.array([0]), np.array([n])))[0]) for r in (WORDS, WORDS2)]
             order = np.argsort(heavy.value[(t >> U64(46)).astype(np.int64)], kind="stable")  # t is sorted already
-            rows.append((doc, n, *same, bitmap(t).tobytes(), signed(t[order[: n + (-num * n) // den + 1]])))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            rows.append((doc, th, n, *same, bitmap(t).tobytes(), signed(t[order[: n + (-num * n) // den + 1]])))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
 
-    return in_chunks(df.select(F.col("doc_id").cast("long").alias("doc"), "text"), step, SETS)
+    return in_chunks(df.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), "text"), step, SETS)
 
 
 def compare(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], cross: bool, num: int, den: int, lo: int, hi: int, derive: bool) -> tuple[list, list, list]:
@@ -200,8 +202,9 @@ def candidates(members: DataFrame, num: int, den: int, lo: int, hi: int, derive:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets link."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """The vertices of those pairs (a, b) whose whole sets link; ``texts`` has node, vertex and text."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("vertex").alias(f"vertex_{x}"), F.col("text").alias(f"text_{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, last, x = [], None, None
@@ -211,9 +214,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             y = shingles(tb, k)
             same = len(x) + len(y) - len(np.union1d(x, y))
             keep.append(len(x) > 0 and den * same >= num * (len(x) + len(y) - same))
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return in_chunks(rows.select("a", "b", "text_a", "text_b"), step, "a long, b long").distinct()
+    return in_chunks(rows.select(F.col("vertex_a").alias("a"), F.col("vertex_b").alias("b"), "text_a", "text_b"), step, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,13 +238,26 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, few: int = 3, more: int = 40) -> DataFrame:
-    """(doc, n, component) of every row of ``df`` (doc_id, text)."""
-    spark = df.sparkSession
+def shared(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between the representatives of classes that rows of one id are in."""
+    key = F.struct("h1", "h2", "n")
+    twice = saved(rows.where("doc is not null").groupBy("doc").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x != y").select("doc"), "twice")
+    at = rows.join(twice, "doc", "left_semi").select("doc", "h1", "h2", "n").distinct().join(classes, ["h1", "h2", "n"]).select("doc", "rep").distinct()
+    return at.join(at.groupBy("doc").agg(F.min("rep").alias("v")), "doc").select(F.col("rep").alias("u"), "v").where("u != v")
+
+
+def grouped(df: DataFrame, k: int, num: int, den: int, block: int, few: int, more: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows, classes of equal sets, components of their vertices if any link).
+
+    A class has a node of its own, in the order of its smallest row (rep, th). The components' vertices are the nodes,
+    or with ``by_id`` the ids, so that classes with a document in common are one.
+    """
+    spark, vertex = df.sparkSession, "rep" if by_id else "node"
     rows = saved(sets(df, k, num, den), "sets")
-    classes = saved(rows.where("n > 0 and doc is not null").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")), "classes")
-    reps = rows.join(classes.withColumnRenamed("rep", "doc"), ["h1", "h2", "n", "doc"], "left_semi").dropDuplicates(["doc"])
-    reps = saved(reps.select("doc", "n", "bits", "prefix"), "reps")
+    least = rows.where("doc is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "th")).alias("r")).select("h1", "h2", "n", F.col("r.doc").alias("rep"), F.col("r.th").alias("th"))
+    classes = saved(least.orderBy("rep", "th").withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = rows.where("n > 0").join(classes.withColumnRenamed("rep", "doc"), ["h1", "h2", "n", "doc", "th"]).dropDuplicates(["node"])
+    reps = saved(reps.select(F.col("node").alias("doc"), F.col("doc").alias("rep"), "th", F.col("doc" if by_id else "node").alias("vertex"), "n", "bits", "prefix"), "reps")
     release(spark)
     postings = reps.select("doc", F.explode("prefix").alias("token"))
     lists = saved(postings.groupBy("token").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("token", "lead"), "lists")
@@ -252,19 +268,24 @@ def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int
 
     def members(under: DataFrame, comps: DataFrame | None) -> DataFrame:
         """Every (lead, document) under each pair of blocks of the lead that holds the document's block."""
-        at = under.join(sizes, "lead").join(reps.select("doc", "n", "bits"), "doc")
-        at = at.withColumn("comp", F.col("doc")) if comps is None else at.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        at = under.join(sizes, "lead").join(reps.select("doc", "vertex", "n", "bits"), "doc")
+        at = at.withColumn("comp", F.col("vertex")) if comps is None else at.join(comps.withColumnRenamed("doc", "vertex"), "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
         at = at.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return at.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
 
     links, comps, texts = None, None, None
+    if by_id:
+        same = saved(shared(rows, classes), "same")
+        if not same.isEmpty():
+            links, comps = same, saved(components(same), "comps")
     for lo, hi in ((0, few), (few, more), (more, 1 << 62)):
         found = saved(candidates(members(under, comps), num, den, lo, hi, comps is not None), "pairs")
         release(spark)
         pairs = found.where("mark = 0").select("a", "b")
         if texts is None:
             touched = saved(found.where("mark = 2").select(F.col("a").alias("doc")).distinct(), "touched")
-            texts = saved(df.select("doc_id", "text").join(touched.withColumnRenamed("doc", "doc_id"), "doc_id"), "texts")
+            wanted = reps.join(touched, "doc").select(F.col("doc").alias("node"), F.col("rep").alias("doc_id"), "th", "vertex")
+            texts = saved(df.select("doc_id", "text", F.xxhash64("text").alias("th")).join(wanted, ["doc_id", "th"]).select("node", "vertex", "text"), "texts")
             release(spark)
             # a document without any candidate has none in a later round either
             under = under.join(touched, "doc", "left_semi")
@@ -274,7 +295,13 @@ def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int
             comps = saved(components(links), "comps")
         if found.where("mark = 1").isEmpty():
             break
-    out = rows.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    return rows, classes, comps
+
+
+def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, few: int = 3, more: int = 40) -> DataFrame:
+    """(doc, n, component) of every row of ``df`` (doc_id, text)."""
+    rows, classes, comps = grouped(df, k, num, den, block, few, more, by_id=True)
+    out = rows.select("doc", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("doc", "rep"), "rep", "left")
     else:
@@ -282,6 +309,15 @@ def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int
     return out.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("comp", "rep", "doc")).alias("component"))
 
 
+def firsts(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, few: int = 3, more: int = 40) -> DataFrame:
+    """(doc_id, th) of the first row, by id and hash of its text, of each group of linked texts; texts of one id are
+    linked only if their sets are."""
+    _, classes, comps = grouped(df, k, num, den, block, few, more, by_id=False)
+    if comps is not None:
+        classes = classes.join(comps.where("doc != comp").withColumnRenamed("doc", "node"), "node", "left_anti")
+    return classes.select(F.col("rep").alias("doc_id"), "th")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return linked(docs).select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))

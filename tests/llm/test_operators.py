@@ -106,6 +106,13 @@ def test_jaccard_hot_near_copies(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def test_jaccard_links_every_text_of_an_id(spark):
+    a, b, c = (" ".join(words(80, i, 9000)) for i in (1, 2, 3))
+    rows = [(5, a), (5, b), (6, b + " x"), (4, a + " y"), (7, c), (7, ""), (3, c), (8, ""), (5, b)]
+    got = sorted((r["doc"], r["component"]) for r in jaccard.linked(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(3, 3), (4, 4), (5, 4), (5, 4), (5, 4), (6, 4), (7, 3), (7, 3), (8, 8)]
+
+
 def test_decontamination_against_brute_force(spark, corpus):
     base = words(300, 1)
     items = [(1, " ".join(base[20:45]).upper()), (2, " ".join(base[30:42])), (3, "one, two"), (4, None), (5, "!!"), (6, " ".join(base[20:45])), (10, "É")]

@@ -56,3 +56,10 @@ def test_language_of_a_table_without_lang(spark):
     rows = [(1, "some words", None), (2, None, None), (3, "12 !!", None), (4, "", None), (None, "é", None)]
     got = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
     assert sorted(map(tuple, got), key=str) == [(1, "some words", None), (None, "é", None)]
+
+
+def test_near_duplicates_keep_every_clean_text_of_an_id(spark):
+    a, b, c = (" ".join(words(80, i)) for i in (11, 12, 13))
+    rows = [(1, a), (5, a + " x"), (5, b), (5, b), (9, b + " y"), (9, c), (9, ""), (None, a)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (5, b), (9, c), (9, ""), (None, a)], key=str)
