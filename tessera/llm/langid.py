@@ -12,6 +12,7 @@ pass unchanged; an empty table gives an empty result with the same columns.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, fold, hash_sample, in_chunks, mix, saved
+from tessera.llm.common import U64, fold, in_chunks, mix, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -78,21 +79,37 @@ def counted(batch: pa.RecordBatch, max_n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ns, pa.int32()), pa.array(words, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "n", "word", "key", "count"])
 
 
-def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: int = 2, max_entries: int = 150_000) -> Model:
+def sampled(rows: DataFrame, max_docs: int, least: int) -> DataFrame:
+    """About ``max_docs`` rows chosen by hash, and of each lang about ``least`` (all, if it has no more)."""
+    by_lang = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().collect()}
+    n, top = sum(by_lang.values()), 1 << 40
+    if n <= max_docs:
+        return rows
+    rates = F.from_json(F.lit(json.dumps({k: int(top * min(1.0, max(max_docs / n, least / c))) for k, c in by_lang.items()})), "map<string,long>")
+    return rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(top)) < F.try_element_at(rates, F.col("lang")))
+
+
+def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: int = 2, max_entries: int = 150_000, least: int = 200) -> Model:
     """Fit from rows (text, lang), lang not null.
 
-    ``max_docs`` bounds the sample (in expectation; rows are chosen by their hash, so not by order),
+    ``max_docs`` bounds the sample (in expectation; rows are chosen by their hash, so not by order) but for rare
+    languages, of each of which about ``least`` rows are drawn whatever the size of the table,
     ``min_count`` drops words and n-grams seen less often, ``max_entries`` bounds each table of the model, by
-    count, so that what is collected and sent to the workers has a fixed size.
+    the largest share of a language's counts, so that what is collected and sent to the workers has a fixed size.
     """
-    sample = hash_sample(rows.where(F.col("lang").isNotNull()), max_docs).select("text", "lang")
+    sample = sampled(rows.where(F.col("lang").isNotNull()), max_docs, least).select("text", "lang")
     counts = in_chunks(sample, lambda b: counted(b, max_n), "lang string, n int, word string, key long, count long")
     counts = counts.groupBy("n", "word", "key", "lang").agg(F.sum("count").alias("count"))
     by_key = counts.groupBy("n", "word", "key").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
     by_key = saved(by_key.where(F.col("total") >= min_count), "langcounts")
     found, langs = [], set()
+    sums: dict[int, dict[str, int]] = {}
+    for x in by_key.select("n", F.explode("by").alias("lang", "count")).groupBy("n", "lang").agg(F.sum("count").alias("count")).collect():
+        sums.setdefault(x["n"], {})[x["lang"]] = x["count"]
     for n in range(max_n + 1):
-        found.append(by_key.where(F.col("n") == n).orderBy(F.desc("total"), "word", "key").limit(max_entries).select("word", "key", "by").toArrow())
+        of = F.from_json(F.lit(json.dumps(sums.get(n, {}))), "map<string,long>")
+        share = F.array_max(F.transform(F.map_entries("by"), lambda e: e["value"] / F.try_element_at(of, e["key"])))
+        found.append(by_key.where(F.col("n") == n).orderBy(F.desc(share), F.desc("total"), "word", "key").limit(max_entries).select("word", "key", "by").toArrow())
         for x in found[-1].column("by").to_pylist():
             langs.update(k for k, _ in x)
     langs = sorted(langs)

@@ -282,6 +282,12 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.predict(probe, empty).collect()} == {"und"}
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(" ".join(words(20, i, 60)), "en") for i in range(3000)] + [("zu ba zu ba", "xx")] * 2
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), max_docs=30, max_entries=40)
+    assert model.langs == ["en", "xx"] and {"zu", "ba"} <= set(model.words)
+
+
 def auc(y, s):
     order = np.argsort(s, kind="stable")
     rank = np.empty(len(s))
