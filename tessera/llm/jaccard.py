@@ -7,20 +7,23 @@ num * union. The steps and what each one skips:
 * Index lists hold a token of a set only if its position in the global order lies in the prefix that a partner must
   reach into (size - ceil(num/den * size) + 1 places). The order puts frequent tokens last, by a count sketch of all
   documents; any order is exact, so the sketch's errors cost time only.
-* A list is represented by its smallest document, its lead; sets that share any list meet under its lead. So each set
-  is sent once to a lead, not once a token. Inside, blocks of sets ordered by size are skipped when the sizes cannot
-  link, and set pairs are skipped when parity bitmaps prove too many differences (an upper bound on the overlap).
-* Answers are derived from similar sets: a set is first compared in full only with the first few candidates before
-  it. The links found join components, and a later round skips every candidate that is in the set's component
-  already, as a highly similar set's answers hold for it. Three rounds (few, more, all) leave no candidate between
-  components unchecked, so no link between components is lost.
-
-Large groups are cut into blocks by hash, and each pair of blocks is a task's unit of its own.
+* Each entry of a list carries its reach: the largest partner whose link with it can begin at this position, as all
+  tokens before it are then unshared. Two entries meet only if each one's size is within the other's reach. Whole
+  blocks of a list are skipped by the least size and the largest reach in them.
+* Answers are derived from similar sets. A list's pivot is its entry of the least position, so the one with the
+  fewest rare tokens: among near copies the cleanest copy. First every entry is compared with its list's pivot alone.
+  What links to the pivot shares its component and so its answers; only entries of other components are then searched
+  in the rest of their list, and pairs within a component are never formed. Of the pairs between two components the
+  closest one is verified first, the others only if it does not link them.
+* Parity bitmaps (an upper bound on the overlap) are compared before whole texts are.
+
+So the work in a group of near copies grows with its size, not with its square, but for pairs of different components
+that no bound tells from a link; those are all verified.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and are their own component; a text of
-fewer words than a shingle has one shingle, all its words; rows with a null id are never linked and have a null
-component; rows that repeat an id count as one node, to which the links of every text of theirs hold; an empty table
-gives an empty result.
+fewer words than a shingle has one shingle, all its words; very long texts are read whole; rows with a null id are
+never linked and have a null component; rows that repeat an id count as one node, to which the links of every text of
+theirs hold; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, U64, WORDS, WORDS2, as_bytes, in_chunks, release, saved, signed, trim, word_hashes
+from tessera.llm.common import LOWER, U64, WORDS, WORDS2, as_bytes, discard, in_chunks, release, saved, signed, word_hashes
 from tessera.shipping import ship
 
 CELLS, SLICE = 1 << 18, 1 << 13
+#: A broadcast table of (id, hash) pairs has at most so many rows.
+SMALL = 200_000
 SETS = "doc long, th long, n int, h1 long, h2 long, bits binary, prefix array<long>"
 
 
@@ -113,92 +118,81 @@ def sets(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return in_chunks(df.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), "text"), step, SETS)
 
 
-def compare(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: list[bytes], cross: bool, num: int, den: int, lo: int, hi: int, derive: bool) -> tuple[list, list, list]:
-    """Candidate pairs of one block (or of two, if ``cross``): (earlier, later, mark).
+def distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Bits that differ in each pair of bitmaps, both folded to the smaller one's width: at most the tokens that only
+    one of the two sets has."""
+    width = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(width), np.int64)
+    for a, b in np.unique(width, axis=0):
+        at = np.flatnonzero((width[:, 0] == a) & (width[:, 1] == b))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), "<u8").reshape(len(at), -1) for side in (left, right))
+        size = min(a, b) // 8
+        out[at] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(axis=1, dtype=np.int64)
+    return out
 
-    Of each document's candidates before it, those numbered [lo, hi) are given, marked 0; mark 1 tells that it has
-    more, and mark 2 that a document has a candidate at all. With ``derive`` pairs within a component are passed over.
-    """
-    width = np.array([len(b) for b in bits])
-    order = np.lexsort((doc, n))
-    found: dict[int, list[int]] = {}
-    for w in np.unique(width):
-        mine = order[width[order] == w]
-        near = order[(width[order] == w) | (width[order] == 2 * w)]
-        words = int(w) // 8
-        base = np.frombuffer(b"".join(bits[i] for i in mine), dtype="<u8").reshape(len(mine), words)
-        up = near[width[near] > w]
-        wide = folded(np.frombuffer(b"".join(bits[i] for i in up), dtype="<u8").reshape(len(up), -1), words) if len(up) else base[:0]
-        table, m = np.concatenate([base, wide]), n[near].astype(np.int64)
-        end = np.searchsorted(m, n[mine].astype(np.int64) * den // num, side="right")
-        for i, a in enumerate(mine.tolist()):
-            # sizes ascend: those from here to the last that can link
-            b = near[i + 1 : end[i]]
-            if not len(b):
-                continue
-            apart = np.bitwise_count(table[i + 1 : end[i]] ^ base[i]).sum(axis=1, dtype=np.int64)
-            ok = (num + den) * apart <= (den - num) * (m[i + 1 : end[i]] + int(n[a]))
-            if cross:
-                ok &= side[b] != side[a]
-            for j in b[ok].tolist():
-                x, y = (a, j) if doc[a] < doc[j] else (j, a)
-                if doc[x] != doc[y]:
-                    found.setdefault(y, []).append(x)
-    left, right, mark = [], [], []
-    touched = set()
-    for y, xs in found.items():
-        xs.sort(key=lambda i: doc[i])
-        touched.update((y, *xs))
-        some = [x for x in xs[lo:hi] if not derive or comp[x] != comp[y]]
-        left += [int(doc[x]) for x in some]
-        right += [int(doc[y])] * len(some)
-        mark += [0] * len(some)
-        if len(xs) > hi:
-            left.append(int(doc[y]))
-            right.append(int(doc[y]))
-            mark.append(1)
-    left += [int(doc[x]) for x in touched]
-    right += [int(doc[x]) for x in touched]
-    mark += [2] * len(touched)
-    return left, right, mark
-
-
-def candidates(members: DataFrame, num: int, den: int, lo: int, hi: int, derive: bool) -> DataFrame:
-    """Candidate pairs under every lead; ``members`` has lead, i, j (a pair of blocks), side, doc, n, comp and bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, whole: bool) -> Iterator[tuple]:
-            """Complete groups; the last one may go on in the next batch."""
-            key = np.stack([table.column(c).to_numpy() for c in ("lead", "i", "j")])
-            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
-            cols = [table.column(c).to_numpy() for c in ("doc", "n", "comp", "side")]
-            bits = table.column("bits").to_pylist()
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b == table.num_rows and not whole:
-                    held.append(table.slice(a).combine_chunks().to_batches()[0])
-                elif b - a > 1:
-                    yield *(c[a:b] for c in cols), bits[a:b], key[1, a] != key[2, a]
-
-        def pairs(table: pa.Table, whole: bool) -> pa.RecordBatch:
-            out = ([], [], [])
-            for doc, n, comp, side, bits, cross in groups(table, whole):
-                for o, x in zip(out, compare(doc, n, comp, side, bits, cross, num, den, lo, hi, derive), strict=True):
-                    o += x
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["a", "b", "mark"])
+def near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b and others) whose bitmaps do not rule a link out, with the bits ``apart``."""
+    side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    names = pairs.columns
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "n_a", "n_b", "bits_a", "bits_b")
+    at = len(names)
 
-        for batch in batches:
-            table = pa.Table.from_batches([*held, batch])
-            held.clear()
-            yield pairs(table, whole=False)
-        if held:
-            yield pairs(pa.Table.from_batches(held), whole=True)
-        trim()
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart = distances(batch.column(at + 2).to_pylist(), batch.column(at + 3).to_pylist())
+        size = batch.column(at).to_numpy().astype(np.int64) + batch.column(at + 1).to_numpy()
+        keep = (num + den) * apart <= (den - num) * size
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(apart)], names=[*names, "apart"]).filter(pa.array(keep))
+
+    return in_chunks(rows, step, ", ".join(f"{c} long" for c in [*names, "apart"]))
+
+
+def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of the lists that two sets or more are in: token, doc, vertex, n, reach, and the list's pivot."""
+    each = reps.select("doc", "vertex", "n", F.posexplode("prefix").alias("pos", "token"))
+    each = each.withColumn("reach", F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num).cast("long") - F.col("n"))
+    pivots = each.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "doc", "n", "reach")).alias("p"))
+    pivots = pivots.where("size > 1").select("token", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.reach").alias("pivot_reach"))
+    return each.drop("pos").join(pivots, "token")
+
+
+def with_pivots(entries: DataFrame) -> DataFrame:
+    """(a, b): each list's pivot with every entry that it may link to."""
+    met = entries.where("doc != pivot and n <= pivot_reach and pivot_n <= reach")
+    return met.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
 
-    ship(members.sparkSession)
-    dealt = members.select("lead", "i", "j", "side", "doc", "n", "comp", "bits").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "doc")
-    return dealt.mapInArrow(run, "a long, b long, mark int").distinct()
+
+def between(entries: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, ca, cb): every pair of one list, of components ca != cb, that may link and was not met at a pivot; and
+    the scratch table it is read from.
+
+    Entries outside the component of their list's pivot search it: first those are dropped that no size and reach in
+    the list allows, then the entries that none of the rest can reach. The join's hot tokens are split by AQE.
+    """
+    e = entries.withColumn("comp", F.col("vertex")) if comps is None else entries.join(comps.withColumnRenamed("doc", "vertex"), "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
+    e = e.select("token", "doc", "n", "reach", "pivot", "comp")
+    home = F.max(F.when(F.col("doc") == F.col("pivot"), F.col("comp")))
+    lists = e.groupBy("token").agg(home.alias("home"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least"), F.max("reach").alias("most")).where("c0 < c1")
+    e = saved(e.join(lists.select("token", "home", "least", "most"), "token"), "mixed")
+    probes = e.where("comp != home and least <= reach and n <= most")
+    reached = probes.groupBy("token").agg(F.min("n").alias("p_least"), F.max("reach").alias("p_most"))
+    others = e.join(reached, "token").where("n <= p_most and p_least <= reach and doc != pivot")
+    x, y = others.select("token", "doc", "n", "reach", "comp", "home").alias("x"), probes.select("token", "doc", "n", "reach", "comp").alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & ((F.col("x.comp") == F.col("x.home")) | (F.col("x.doc") < F.col("y.doc"))))
+    first = F.col("x.doc") < F.col("y.doc")
+    pick = lambda c, turn: F.when(first != F.lit(turn), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    return met.select(pick("doc", False).alias("a"), pick("doc", True).alias("b"), pick("comp", False).alias("ca"), pick("comp", True).alias("cb")).distinct(), e
+
+
+def texts_of(df: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A table (node, vertex, text) of the nodes of some pairs; few of them are sent to the texts, many are joined."""
+    nodes = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    wanted = saved(reps.join(nodes, "doc").select(F.col("doc").alias("node"), F.col("rep").alias("doc_id"), "th", "vertex"), "wanted")
+    few = wanted.count() <= SMALL
+    texts = df.select("doc_id", "text", F.xxhash64("text").alias("th")).join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"])
+    texts = saved(texts.select("node", "vertex", "text"), "texts")
+    discard(wanted)
+    return texts
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -229,9 +223,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = saved(large, "large")
+        discard(pairs, low)
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x != m").union(low.select(F.col("u").alias("x"), "m"))
         pairs = saved(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(large, low)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
@@ -246,12 +242,14 @@ def shared(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return at.join(at.groupBy("doc").agg(F.min("rep").alias("v")), "doc").select(F.col("rep").alias("u"), "v").where("u != v")
 
 
-def grouped(df: DataFrame, k: int, num: int, den: int, block: int, few: int, more: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def grouped(df: DataFrame, k: int, num: int, den: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rows, classes of equal sets, components of their vertices if any link).
 
     A class has a node of its own, in the order of its smallest row (rep, th). The components' vertices are the nodes,
     or with ``by_id`` the ids, so that classes with a document in common are one.
     """
+    if not 0 < num <= den:
+        raise ValueError(f"the threshold {num}/{den} is not above 0 and at most 1")
     spark, vertex = df.sparkSession, "rep" if by_id else "node"
     rows = saved(sets(df, k, num, den), "sets")
     least = rows.where("doc is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "th")).alias("r")).select("h1", "h2", "n", F.col("r.doc").alias("rep"), F.col("r.th").alias("th"))
@@ -259,48 +257,50 @@ def grouped(df: DataFrame, k: int, num: int, den: int, block: int, few: int, mor
     reps = rows.where("n > 0").join(classes.withColumnRenamed("rep", "doc"), ["h1", "h2", "n", "doc", "th"]).dropDuplicates(["node"])
     reps = saved(reps.select(F.col("node").alias("doc"), F.col("doc").alias("rep"), "th", F.col("doc" if by_id else "node").alias("vertex"), "n", "bits", "prefix"), "reps")
     release(spark)
-    postings = reps.select("doc", F.explode("prefix").alias("token"))
-    lists = saved(postings.groupBy("token").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("token", "lead"), "lists")
+    entries = saved(index_lists(reps, num, den), "entries")
     release(spark)
-    under = saved(postings.join(lists, "token").select("lead", "doc").distinct(), "under")
-    release(spark)
-    sizes = saved(under.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    links, comps = None, None
 
-    def members(under: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """Every (lead, document) under each pair of blocks of the lead that holds the document's block."""
-        at = under.join(sizes, "lead").join(reps.select("doc", "vertex", "n", "bits"), "doc")
-        at = at.withColumn("comp", F.col("vertex")) if comps is None else at.join(comps.withColumnRenamed("doc", "vertex"), "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
-        at = at.withColumn("side", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return at.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    def link(pairs: DataFrame) -> None:
+        """Verify pairs and take the links found into the components."""
+        nonlocal links, comps
+        texts = texts_of(df, reps, pairs)
+        release(spark)
+        new = saved(verified(pairs.select("a", "b"), texts, k, num, den).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+        discard(texts)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comps = saved(components(links), "comps")
 
-    links, comps, texts = None, None, None
     if by_id:
         same = saved(shared(rows, classes), "same")
         if not same.isEmpty():
             links, comps = same, saved(components(same), "comps")
-    for lo, hi in ((0, few), (few, more), (more, 1 << 62)):
-        found = saved(candidates(members(under, comps), num, den, lo, hi, comps is not None), "pairs")
-        release(spark)
-        pairs = found.where("mark = 0").select("a", "b")
-        if texts is None:
-            touched = saved(found.where("mark = 2").select(F.col("a").alias("doc")).distinct(), "touched")
-            wanted = reps.join(touched, "doc").select(F.col("doc").alias("node"), F.col("rep").alias("doc_id"), "th", "vertex")
-            texts = saved(df.select("doc_id", "text", F.xxhash64("text").alias("th")).join(wanted, ["doc_id", "th"]).select("node", "vertex", "text"), "texts")
-            release(spark)
-            # a document without any candidate has none in a later round either
-            under = under.join(touched, "doc", "left_semi")
-        if not pairs.isEmpty():
-            new = saved(verified(pairs, texts, k, num, den).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-            links = new if links is None else links.union(new)
-            comps = saved(components(links), "comps")
-        if found.where("mark = 1").isEmpty():
-            break
+    first = saved(near(with_pivots(entries), reps, num, den), "near")
+    if not first.isEmpty():
+        link(first)
+    rest, mixed = between(entries, comps)
+    rest = saved(near(rest, reps, num, den), "near")
+    discard(mixed, entries)
+    if not rest.isEmpty():
+        closest = rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        closest = saved(closest, "closest")
+        link(closest)
+        left = rest.select("a", "b").join(closest, ["a", "b"], "left_anti")
+        if comps is not None:
+            at = reps.select("doc", "vertex").join(comps.withColumnRenamed("doc", "vertex"), "vertex", "left").select("doc", F.coalesce("comp", "vertex").alias("comp"))
+            left = left.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").where("ca != cb").select("a", "b")
+        left = saved(left, "left")
+        if not left.isEmpty():
+            link(left)
+        discard(closest, left)
+    discard(reps, first, rest)
     return rows, classes, comps
 
 
-def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, few: int = 3, more: int = 40) -> DataFrame:
+def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc, n, component) of every row of ``df`` (doc_id, text)."""
-    rows, classes, comps = grouped(df, k, num, den, block, few, more, by_id=True)
+    rows, classes, comps = grouped(df, k, num, den, by_id=True)
     out = rows.select("doc", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("doc", "rep"), "rep", "left")
@@ -309,10 +309,10 @@ def linked(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int
     return out.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("comp", "rep", "doc")).alias("component"))
 
 
-def firsts(df: DataFrame, k: int = 4, num: int = 85, den: int = 100, block: int = 1024, few: int = 3, more: int = 40) -> DataFrame:
+def firsts(df: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, th) of the first row, by id and hash of its text, of each group of linked texts; texts of one id are
     linked only if their sets are."""
-    _, classes, comps = grouped(df, k, num, den, block, few, more, by_id=False)
+    _, classes, comps = grouped(df, k, num, den, by_id=False)
     if comps is not None:
         classes = classes.join(comps.where("doc != comp").withColumnRenamed("doc", "node"), "node", "left_anti")
     return classes.select(F.col("rep").alias("doc_id"), "th")
