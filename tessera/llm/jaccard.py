@@ -32,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, U64, WORDS, WORDS2, as_bytes, discard, in_chunks, release, saved, signed, word_hashes
 from tessera.shipping import ship
 
-CELLS, SLICE = 1 << 18, 1 << 13
+#: The sketch has 2 ** BITS counters, sent in slices; more of them tell rarer tokens apart in larger tables.
+BITS, SLICE = 22, 1 << 17
 #: A broadcast table of (id, hash) pairs has at most so many rows.
 SMALL = 200_000
 SETS = "doc long, th long, n int, h1 long, h2 long, bits binary, prefix array<long>"
@@ -69,31 +71,40 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(64 - BITS)).astype(np.int64)
+
+
 def sketch(df: DataFrame, k: int) -> np.ndarray:
-    """How many documents have a token in each cell: one row of counters, summed over all documents."""
+    """A class for each cell of tokens by how many documents have one of them, summed over all documents: 0 up to what
+    rare tokens alone make (six deviations above the median), then one more for every doubling of the excess."""
+    kinds = {"slice": pa.int32(), "cells": pa.binary()}
+    row = lambda i, cells: pa.RecordBatch.from_arrays([pa.array([i], kinds["slice"]), pa.array([zstandard.ZstdCompressor(level=1).compress(cells.astype("<i4").tobytes())], kinds["cells"])], names=list(kinds))
+    counts = lambda data: np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for data in as_bytes(batch.column(0)):
-                np.add.at(cells, (shingles(data, k) >> U64(46)).astype(np.int64), 1)
-        yield slices(cells)
-
-    def slices(cells: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(CELLS // SLICE), pa.int32()), pa.array([cells[i : i + SLICE].astype("<i8").tobytes() for i in range(0, CELLS, SLICE)], pa.binary())], names=["slice", "cells"])
+                np.add.at(cells, cell(shingles(data, k)), 1)
+        for i in range(0, len(cells), SLICE):
+            if cells[i : i + SLICE].any():
+                yield row(i, cells[i : i + SLICE])
 
     def total(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(SLICE, np.int64)
         for batch in groups:
             for x in batch.column(1).to_pylist():
-                out += np.frombuffer(x, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slice", "cells"])
+                out += counts(x)
+        yield row(key[0].as_py(), np.minimum(out, 2**31 - 1))
 
     ship(df.sparkSession)
-    rows = df.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "slice int, cells binary").groupBy("slice").applyInArrow(total, "slice int, cells binary").orderBy("slice").collect()
-    cells = np.concatenate([np.frombuffer(r["cells"], "<i8") for r in rows]) if rows else np.zeros(CELLS, np.int64)
-    # 0 for ordinary cells, then one more for every doubling
-    return np.log2(np.maximum(1, cells / (2 * cells.mean() + 8))).astype(np.uint8)
+    rows = df.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "slice int, cells binary").groupBy("slice").applyInArrow(total, "slice int, cells binary")
+    cells = np.zeros(1 << BITS)
+    for r in rows.collect():
+        cells[r["slice"] : r["slice"] + SLICE] = counts(bytes(r["cells"]))
+    middle = float(np.median(cells))
+    return np.ceil(np.log2(np.maximum(1, (cells - middle) / (6 * np.sqrt(middle + 1))))).astype(np.uint8)
 
 
 def sets(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -110,7 +121,7 @@ def sets(df: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 rows.append((doc, th, 0, doc or 0, th, b"", []))
                 continue
             same = [int(signed(r.slices(t, np.array([0]), np.array([n])))[0]) for r in (WORDS, WORDS2)]
-            order = np.argsort(heavy.value[(t >> U64(46)).astype(np.int64)], kind="stable")  # t is sorted already
+            order = np.argsort(heavy.value[cell(t)], kind="stable")  # t is sorted already
             rows.append((doc, th, n, *same, bitmap(t).tobytes(), signed(t[order[: n + (-num * n) // den + 1]])))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
@@ -148,12 +159,15 @@ def near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries of the lists that two sets or more are in: token, doc, vertex, n, reach, and the list's pivot."""
+    """A table of the entries of the lists that two sets or more are in: token, doc, vertex, n, reach, and the list's
+    pivot. Most tokens have one set only; their lists go before anything else is made of them."""
     each = reps.select("doc", "vertex", "n", F.posexplode("prefix").alias("pos", "token"))
-    each = each.withColumn("reach", F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num).cast("long") - F.col("n"))
-    pivots = each.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("pos", "doc", "n", "reach")).alias("p"))
-    pivots = pivots.where("size > 1").select("token", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.reach").alias("pivot_reach"))
-    return each.drop("pos").join(pivots, "token")
+    sizes = each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    lists = saved(each.join(sizes, "token"), "lists")
+    lists = lists.withColumn("reach", F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num).cast("long") - F.col("n"))
+    pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "doc", "n", "reach")).alias("p"))
+    pivots = pivots.select("token", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.reach").alias("pivot_reach"))
+    return saved(lists.drop("pos").join(pivots, "token"), "entries")
 
 
 def with_pivots(entries: DataFrame) -> DataFrame:
@@ -257,7 +271,7 @@ def grouped(df: DataFrame, k: int, num: int, den: int, by_id: bool) -> tuple[Dat
     reps = rows.where("n > 0").join(classes.withColumnRenamed("rep", "doc"), ["h1", "h2", "n", "doc", "th"]).dropDuplicates(["node"])
     reps = saved(reps.select(F.col("node").alias("doc"), F.col("doc").alias("rep"), "th", F.col("doc" if by_id else "node").alias("vertex"), "n", "bits", "prefix"), "reps")
     release(spark)
-    entries = saved(index_lists(reps, num, den), "entries")
+    entries = index_lists(reps, num, den)
     release(spark)
     links, comps = None, None
 
