@@ -6,9 +6,12 @@ the pieces that still fit, the one whose need has the largest dot product with t
 tokens are left, the largest piece that another limit does not forbid is cut to fill them. The last sequence of a
 task is divided into powers of two, which need no padding. Tasks pack on their own, so packing needs no exchange.
 
-``loss_from`` is the number of leading tokens of a document (a prompt) that bear no loss. Edge cases: a null text
-counts as empty and yields its end id alone; repeated rows are packed each; null ids are kept; an empty table
-yields no rows. Sequence ids are unique, not dense: the task number in the high bits.
+Instruction data has a prompt column: a document is then its prompt and its text, and the prompt's tokens bear no loss.
+
+Edge cases: a null text or prompt counts as empty, a null text yields its end id alone; very long texts are cut into
+full sequences; repeated rows are packed each; null ids are kept; of equally good pieces the one pooled first is taken;
+other columns are not read and not returned, whatever their names; an empty table yields no rows. Sequence ids are
+unique, not dense: the task number in the high bits.
 """
 
 from __future__ import annotations
@@ -95,19 +98,20 @@ class Packer:
             if room[0] > 0 and room[1] > 0 and live.any():
                 # nothing fits whole: cut the largest piece whose first tokens fit every limit
                 order = np.argsort(np.where(live, -need[:, 0], 1), kind="stable")[: int(live.sum())]
-                for k in order[:8]:
+                for k in order:
                     doc, start, free = self.meta[k]
                     length = min(int(room[0]), int(need[k, 0]) - 1, max(0, free - start) + int(room[2]))
                     if length > 0:
                         chosen.append((int(k), length))
                         room -= [length, 1, self._loss(start, length, free)]
+                        live[k] = False  # its rest waits for the next sequence
                         break
                 else:
                     break
                 continue
             break
-        self._write(chosen, int(self.size - room[0]), last and not live.any())
         cut = [(k, n) for k, n in chosen if n < need[k, 0]]
+        self._write(chosen, int(self.size - room[0]), last and not cut and not live.any())
         for k, n in cut:
             doc, start, free = self.meta[k]
             self.meta[k] = [doc, start + n, free]
@@ -133,24 +137,38 @@ class Packer:
         self.next_id += 1
 
 
-def pack(df: DataFrame, vocab: str | None = None, end_id: int = 1, size: int = 2048, max_segments: int = 128, max_loss: int | None = None) -> DataFrame:
-    """Pieces of (doc_id, text[, loss_from]) in sequences of at most ``size`` tokens."""
+def pack(df: DataFrame, vocab: str | None = None, end_id: int = 1, size: int = 2048, max_segments: int = 128, max_loss: int | None = None, prompt: str | None = None) -> DataFrame:
+    """Pieces of (doc_id, text) in sequences of at most ``size`` tokens, ``max_segments`` pieces and ``max_loss`` (null:
+    ``size``) loss-bearing tokens; ``prompt`` names a column of text that goes before and bears no loss."""
     vocab = vocab or vocabulary()
-    loss = F.coalesce(F.col("loss_from").cast("int"), F.lit(0)) if "loss_from" in df.columns else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(size, max_segments, max_loss, first_id=TaskContext.get().partitionId() << 36)
+        encode = encoder(vocab).encode
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
-                ids = [np.append(x, x.dtype.type(end_id)) for x in encoder(vocab).encode(some.column(1).to_pylist())]
-                if rows := packer.add(some.column(0).to_pylist(), ids, some.column(2).to_pylist()):
+                ids = [np.append(x, x.dtype.type(end_id)) for x in encode(some.column(1).to_pylist())]
+                free = [0] * len(ids)
+                if prompt:
+                    heads = encode(some.column(2).to_pylist())
+                    free = [len(x) for x in heads]
+                    ids = [np.concatenate(x) for x in zip(heads, ids, strict=True)]
+                if rows := packer.add(some.column(0).to_pylist(), ids, free):
                     yield table(rows)
         if rows := packer.finish():
             yield table(rows)
 
     ship(df.sparkSession)
-    return df.select("doc_id", "text", loss.alias("loss_from")).mapInArrow(run, OUT)
+    return df.select("doc_id", "text", *[F.col(f"`{prompt}`").cast("string").alias("prompt")][: bool(prompt)]).mapInArrow(run, OUT)
+
+
+def answers(turns: DataFrame) -> DataFrame:
+    """(doc_id, prompt, text) of conversations (conv_id, turn, role, text): each assistant turn with the turn before it
+    as its prompt; the id is made of conversation and turn."""
+    reply = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    return reply.join(before, ["conv_id", "turn"], "left").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "prompt", "text")
 
 
 def table(rows: list[tuple]) -> pa.RecordBatch:
