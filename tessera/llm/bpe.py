@@ -3,8 +3,9 @@
 A byte-level pre-tokeniser that keeps one leading space with the word after it never joins characters across
 the place before a single space, or before a single newline, that stands between two other characters. A text
 without runs of white space can therefore be cut there into units, and the ids of a text are the ids of its
-units in order. Units repeat, so each is encoded once and remembered. Texts with runs of white space go to the
-tokeniser whole. Both ways give the ids that the tokenizers library gives for the whole text.
+units in order. Units repeat, so each is encoded once and remembered. Texts with runs of white space, and texts that
+hold an added token of the vocabulary, go to the tokeniser whole. Both ways give the ids that the tokenizers library,
+with its defaults and add_special_tokens=False, gives for the whole text.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        self.whole = (*RUNS, *[t.content for t in self.tok.get_added_tokens_decoder().values()])
         self.room, self.memory, self.words, self.tails = room, Memory(self.unit), {}, {}
         line = self.tok.encode("a\nb", add_special_tokens=False).ids
         self.by_unit = len(line) == 3 and self.tok.get_vocab_size() <= 65536 and line[1].to_bytes(2, "little") == LINE
@@ -102,7 +103,7 @@ class Encoder:
         for x in texts:
             if not x:
                 out.append(b"")
-            elif any(map(x.__contains__, RUNS)) or x[0].isspace() or x[-1].isspace():
+            elif any(map(x.__contains__, self.whole)) or x[0].isspace() or x[-1].isspace():
                 out.append(self._whole([x])[0])
             else:
                 out.append(b"".join(map(get, x.replace(" ", "\x00 ").replace("\n", "\x00\n").split(CUT))))

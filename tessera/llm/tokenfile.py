@@ -7,7 +7,8 @@ one block can be read without the others. ``before`` counts the ids ahead of the
 write task, and the ids before a part are the sum of the earlier parts.
 
 Edge cases: a null text counts as empty and yields only its end id; rows of equal or null id are all kept (null
-first), ordered by their text; an empty table yields no shard and no row.
+first), ordered by their text; a text longer than a shard makes a longer shard; other columns are not read and not
+returned; an empty table yields no shard and no row.
 """
 
 from __future__ import annotations
