@@ -5,7 +5,9 @@ stored bytes back with the wave module. Each frame's strongest local maxima are
 peaks of the next frames; a pair is kept as its time code (frame) and a hash of both bins and their distance.
 Magnitudes are compared as rounded log levels, lower bin first on ties, so equal payloads give equal fingerprints.
 
-Edge cases: a null text counts as empty; the payload is padded with bytes 255 to a positive multiple of 576, so it is never empty; null ids, repeated rows and extra columns pass through; an empty table gives no rows.
+Edge cases: a null text counts as empty; the payload is padded with bytes 255 to a positive multiple of 576, so it is
+never empty; very long texts are transformed whole, 512 frames at a time; null ids, repeated rows and extra columns pass
+through, but for columns named like one that is made here, which the new one replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import as_bytes, in_chunks
+from tessera.llm.common import as_bytes, in_chunks, saved
 
 #: Samples of the padding unit, the hop and a frame; rate; frames transformed at once.
 UNIT, HOP, FRAME, RATE, BLOCK = 576, 96, 192, 8000, 512
@@ -95,9 +97,11 @@ def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame
     return in_chunks(df, step, f"{fields}n_bytes long, `{media}` binary")
 
 
-def fingerprint(df: DataFrame, media: str = "media", digest_only: bool = False) -> DataFrame:
-    """Reads the WAV column back: payload figures, and times/codes arrays (left out with ``digest_only``)."""
-    kept = [c for c in df.columns if c != media]
+def fingerprint(df: DataFrame, media: str = "media") -> DataFrame:
+    """Reads the WAV column back: payload figures, a digest of the fingerprint (feature), and the fingerprint itself:
+    the pairs' time codes (times) and hashes (codes)."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"]
+    kept = [c for c in df.columns if c != media and c not in names]
     df = df.select(*kept, media)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,15 +113,12 @@ def fingerprint(df: DataFrame, media: str = "media", digest_only: bool = False)
             mark = hashlib.blake2b(t.tobytes() + code.tobytes(), digest_size=12).hexdigest()
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{len(level)}f{len(code)}p{mark}", t, code))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"]
-        n = 6 if digest_only else 8
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in list(zip(zip(*rows, strict=True), kinds, strict=True))[:n])], names=[*kept, *names[:n]])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*kept, *names])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema[:-1])
-    more = "" if digest_only else ", times array<int>, codes array<long>"
-    return in_chunks(df, step, f"{fields}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{more}")
+    return in_chunks(df, step, f"{fields}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, codes array<long>", rows=250)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fingerprint(encode(docs), digest_only=True)
+    return fingerprint(saved(encode(docs), "media"))
