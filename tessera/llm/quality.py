@@ -4,8 +4,10 @@ A text becomes a short vector of statistics; cos(W x + b) with Gaussian W approx
 Tasks sum the normal equations of their rows, the driver adds up the sums and solves them. Raw scores are calibrated
 on rows that the regression has not seen, by pooling adjacent violators.
 
-Edge cases: null and empty texts share one vector and so one score; without labels every score is 0.5; repeated
-label rows count each; labels without a document are ignored.
+Edge cases: null and empty texts share one vector and so one score; very long texts are read whole; without labels
+every score is 0.5; without a row to calibrate on the raw score is clipped to 0 and 1; repeated rows of documents or
+labels count each, and a document labelled both ways counts both ways; equal scores share one block of the calibration;
+labels without a document are ignored; other columns are not read and not returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, fold, hash_sample, in_chunks, saved, word_hashes
+from tessera.llm.common import as_bytes, discard, fold, hash_sample, in_chunks, saved, word_hashes
 from tessera.shipping import ship
 
 
@@ -90,19 +92,29 @@ class Model:
         return np.clip(np.interp(self.features(x) @ self.beta, *self.knots), 0, 1)
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y by score, one for each pooled block at its mean score."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order], strict=True):
-        blocks.append([s, v, 1.0])
-        while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
-            b, a = blocks.pop(), blocks.pop()
-            n = a[2] + b[2]
-            blocks.append([(a[0] * a[2] + b[0] * b[2]) / n, (a[1] * a[2] + b[1] * b[2]) / n, n])
-    # a block of few rows would promise certainty: shrink each towards the overall rate by two rows
-    rate = float(y.mean())
-    return np.array([b[0] for b in blocks]), np.array([(b[1] * b[2] + 2 * rate) / (b[2] + 2) for b in blocks])
+def pooled(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjacent violators pooled: (mean score, mean y, weight) of each block, y strictly ascending."""
+    blocks: list[tuple[float, float, float]] = []
+    for s, v, w in zip(score, y, weight, strict=True):
+        block = (s, v, w)
+        while blocks and blocks[-1][1] >= block[1]:
+            s0, v0, w0 = blocks.pop()
+            n = w0 + block[2]
+            block = ((s0 * w0 + block[0] * block[2]) / n, (v0 * w0 + block[1] * block[2]) / n, n)
+        blocks.append(block)
+    return tuple(np.array(x) for x in zip(*blocks, strict=True))
+
+
+def isotonic(score: np.ndarray, y: np.ndarray, extra: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing fit of y by score, one for each pooled block at its mean score.
+
+    A block of few rows would promise certainty, so each is shrunk towards the overall rate by ``extra`` rows; what no
+    longer ascends then is pooled again. Rows of equal score are one block from the start."""
+    s, at = np.unique(score, return_inverse=True)
+    n = np.bincount(at).astype(float)
+    s, v, n = pooled(s, np.bincount(at, weights=y) / n, n)
+    s, v, _ = pooled(s, (v * n + extra * float(y.mean())) / (n + extra), n + extra)
+    return s, v
 
 
 EMPTY = Model(np.zeros(0), np.ones(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0), (np.zeros(1), np.full(1, 0.5)))
@@ -147,10 +159,11 @@ def train(df: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_features:
         return EMPTY
     model.beta = np.linalg.solve(a + ridge * n * np.diag([1.0] * n_features + [1e-9]), b)
     held = rows.where("calibrate").select("x", "y").toArrow()
-    if held.num_rows < 10:
-        held = rows.select("x", "y").toArrow()
-    raw = model.features(np.array(held.column("x").to_pylist())) @ model.beta
-    model.knots = isotonic(raw, held.column("y").to_numpy())
+    model.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    if held.num_rows:
+        raw = model.features(np.array(held.column("x").to_pylist())) @ model.beta
+        model.knots = isotonic(raw, held.column("y").to_numpy())
+    discard(rows)
     return model
 
 
