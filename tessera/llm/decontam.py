@@ -8,17 +8,20 @@ starts, and every eighth suffix position. A phrase is searched backwards, word b
 found are located by walking back to a sampled position; the spans of all occurrences are merged per document.
 
 Phrases are the windows of ``size`` consecutive words of an item, or all its words if it has fewer. All phrases are
-searched together, one numpy step a word.
+searched together, one numpy step a word. A benchmark is collected and sent to the tasks in groups of items of bounded
+bytes, one group at a time; the spans of the groups are joined by row and merged.
 
-Edge cases: null, empty and wordless texts have no words and no hits; null or wordless items have no phrase;
-items with equal text all count, under their own ids; with an empty benchmark nothing is hit; repeated documents
-are each reported.
+Edge cases: null, empty and wordless texts have no words and no hits; very long texts are indexed whole, as a shard of
+their own if need be; null or wordless items have no phrase; items with equal text all count, under their own ids, a
+null id as None; with an empty benchmark nothing is hit; repeated documents are each reported; other columns are handed
+on whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import ALNUM, as_bytes
+from tessera.llm.common import ALNUM, as_bytes, in_chunks, saved
 from tessera.shipping import ship
 
 
@@ -137,15 +140,15 @@ class FMIndex:
         self.sampled = order[mark]
         self.mark = mark
 
-    def search(self, phrases: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """[lo, hi) of the suffixes that begin with each phrase, by backward search."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        size = np.array([len(p) for p in phrases])
+    def search(self, words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[lo, hi) of the suffixes that begin with each phrase, by backward search; a phrase is a row of ``words``, its
+        last word first, of which the first ``size`` count."""
+        lo, hi = np.zeros(len(size), np.int64), np.full(len(size), self.n, np.int64)
         for step in range(int(size.max(initial=0))):
             live = np.flatnonzero((size > step) & (lo < hi))
             if not len(live):
                 break
-            symbol = np.array([phrases[i][size[i] - 1 - step] for i in live], dtype=np.int64) + 1
+            symbol = words[live, step].astype(np.int64) + 1
             both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([lo[live], hi[live]]))
             lo[live], hi[live] = self.starts[symbol] + both[: len(live)], self.starts[symbol] + both[len(live) :]
         return lo, hi
@@ -167,18 +170,41 @@ class FMIndex:
 
 
 class Phrases:
-    """The benchmark's vocabulary, its distinct phrases and the items that each comes from."""
+    """The benchmark's vocabulary, its distinct phrases (rows of ``words``, last word first) and the items of each."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int = 10):
         self.number: dict[bytes, int] = {}
-        self.phrases: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of((text or "").encode())]
-            for i in range(max(1, len(words) - size + 1) if words else 0):
-                self.phrases.setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.keys = [np.array(p, dtype=np.int64) for p in self.phrases]
-        self.items = list(self.phrases.values())
-        self.shortest = min((len(k) for k in self.keys), default=0)
+        self.names = [item for item, _ in items]
+        rows, owners, sizes = [np.zeros((0, size), np.int32)], [], []
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of((text or "").encode())], np.int32)
+            n = min(size, len(ids))
+            if n:
+                found = np.zeros((len(ids) - n + 1, size), np.int32)
+                found[:, :n] = np.lib.stride_tricks.sliding_window_view(ids, n)[:, ::-1]
+                rows.append(found)
+                owners += [k] * len(found)
+                sizes += [n] * len(found)
+        # zeros pad the rows, and no word is 0, so equal rows are equal phrases
+        self.words, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.size = (self.words > 0).sum(axis=1)
+        order = np.argsort(of.ravel(), kind="stable")
+        self.owners, self.at = np.array(owners, np.int64)[order], np.searchsorted(of.ravel()[order], np.arange(len(self.words) + 1))
+        self.shortest = int(self.size.min(initial=size)) if len(self.size) else 0
+
+    def items(self, phrases: set[int]) -> set:
+        return {self.names[k] for f in phrases for k in self.owners[self.at[f] : self.at[f + 1]].tolist()}
+
+
+def merge(spans) -> list[list[int]]:
+    """Spans in order, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 class Shard:
@@ -213,14 +239,16 @@ class Shard:
         if not self.parts:
             return []
         index = FMIndex(np.concatenate(self.parts), len(self.p.number))
-        lo, hi = index.search(self.p.keys)
+        lo, hi = index.search(self.p.words, self.p.size)
         count = hi - lo
         phrase = np.repeat(np.arange(len(count)), count)
         rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + lo[phrase]
         at = index.locate(rows)
         places = np.array([w[0] for w in self.where])
         part = np.searchsorted(places, at, side="right") - 1
-        return [(self.where[s][1], self.where[s][2] + p - self.where[s][0], self.where[s][2] + p - self.where[s][0] + len(self.p.keys[f]), f) for s, p, f in zip(part.tolist(), at.tolist(), phrase.tolist(), strict=True)]
+        size = self.p.size[phrase].tolist()
+        first = [self.where[s][2] + p - self.where[s][0] for s, p in zip(part.tolist(), at.tolist(), strict=True)]
+        return [(self.where[s][1], a, a + n, f) for s, a, n, f in zip(part.tolist(), first, size, phrase.tolist(), strict=True)]
 
     def results(self) -> list[tuple]:
         """(doc, words, merged spans, items) of each document in order."""
@@ -229,30 +257,24 @@ class Shard:
             spans.setdefault(k, []).append((a, b, f))
         out = []
         for k, (doc, data, n) in enumerate(self.docs):
-            merged: list[list[int]] = []
-            found = sorted(spans.get(k, ()))
-            for a, b, _ in found:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            items = set().union(*(self.p.items[f] for f in {f for *_, f in found})) if found else set()
-            out.append((doc, data, n, merged, items))
+            found = spans.get(k, ())
+            out.append((doc, data, n, merge((a, b) for a, b, _ in found), self.p.items({f for *_, f in found})))
         self.clear()
         return out
 
 
-def scan(df: DataFrame, items: list[tuple], row, schema: str, size: int = 10, max_symbols: int = 1 << 20, max_docs: int = 4096) -> DataFrame:
-    """Run every document through its shard's index; ``row(batch row, result)`` makes the columns of ``schema``.
+def scan(df: DataFrame, items: list[tuple], row, schema: str | StructType, size: int = 10, max_symbols: int = 1 << 20, max_docs: int = 4096) -> DataFrame:
+    """Run every document through its shard's index; ``row(batch row, result)`` makes the columns of ``schema``, or
+    gives None for no row.
 
-    ``df`` has doc_id, text and any other columns. A shard ends at ``max_symbols`` indexed words or ``max_docs``
+    ``df`` has text and any other columns. A shard ends at ``max_symbols`` indexed words or ``max_docs``
     documents, which bounds a task's memory, not what is searched.
     """
     names = df.columns
     text = names.index("text")
     phrases = Phrases(items, size)
     shared = df.sparkSession.sparkContext.broadcast(phrases)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,12 +292,48 @@ def scan(df: DataFrame, items: list[tuple], row, schema: str, size: int = 10, ma
     return df.mapInArrow(run, schema)
 
 
-def benchmark_items(bench: DataFrame, max_items: int = 1_000_000) -> list[tuple]:
-    """The test items; a benchmark is small, and one above ``max_items`` is refused rather than cut."""
-    rows = bench.select("item_id", "text").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} benchmark items")
-    return [(r["item_id"], r["text"]) for r in rows]
+class Benchmark:
+    """Test items (item_id, text) in as many groups as it takes for each to hold about ``max_bytes`` of text at most; an
+    item is in one group, and only one group is collected at a time."""
+
+    def __init__(self, bench: DataFrame, max_bytes: int = 8 << 20):
+        self.bench = bench.select("item_id", "text")
+        total = self.bench.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0]
+        self.n = max(1, -(-(total or 0) // max_bytes))
+
+    def group(self, k: int) -> list[tuple]:
+        part = self.bench if self.n == 1 else self.bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k)
+        return [(r["item_id"], r["text"]) for r in part.collect()]
+
+
+def search(df: DataFrame, bench: Benchmark, row, schema: str | StructType, **options) -> DataFrame:
+    """As ``scan``, for a benchmark of any number of groups."""
+    if bench.n == 1:
+        return scan(df, bench.group(0), row, schema, **options)
+    rows = saved(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.monotonically_increasing_id().alias("_row"), "text"), "rows")
+
+    def spans(given: dict, result: tuple) -> dict | None:
+        *_, merged, items = result
+        return {"_row": given["_row"], "spans": [x for span in merged for x in span], "items": [str(x) for x in items]} if merged else None
+
+    hits = [saved(scan(rows.select("_row", "text"), bench.group(k), spans, "_row long, spans array<int>, items array<string>", **options), "hits") for k in range(bench.n)]
+    found = reduce(DataFrame.union, hits).groupBy("_row").agg(F.collect_list(F.struct("spans", "items")).alias("_found"))
+    both = rows.join(found, "_row", "left").select("_all", "_found")
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for given, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = (given.pop("text") or "").encode()
+            pairs = [p for f in found or () for p in zip(f["spans"][0::2], f["spans"][1::2], strict=True)]
+            out.append(row(given, (None, data, len(words_of(data)), merge(pairs), {x for f in found or () for x in f["items"]})))
+        out = [r for r in out if r is not None]
+        return pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], t) for f, t in zip(arrow.names, arrow.types, strict=True)], names=arrow.names)
+
+    return in_chunks(both, step, schema)
+
+
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def digest(given: dict, result: tuple) -> dict:
@@ -287,8 +345,7 @@ def digest(given: dict, result: tuple) -> dict:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    items = benchmark_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return scan(docs, items, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return search(docs, Benchmark(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), digest, DIGEST)
 
 
 def cut(data: bytes, spans: list[list[int]]) -> bytes:
@@ -305,13 +362,16 @@ def cut(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def clean(df: DataFrame, items: list[tuple]) -> DataFrame:
-    """``df`` without the hit words; ``_changed`` marks edited texts. Untouched texts, and null ones, stay as they are."""
-    names = [f.name for f in df.schema]
+def clean(df: DataFrame, bench: Benchmark, changed: str = "_changed") -> DataFrame:
+    """``df`` without the hit words; the column ``changed`` is added (or replaced) and marks edited texts. Untouched
+    texts, and null ones, stay as they are."""
+    df = df.drop(changed)
+    others = [f.name for f in df.schema if f.name != "text"]
+    packed = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("rest"), F.col("text").isNotNull().alias("some"), "text")
 
     def row(given: dict, result: tuple) -> dict:
         _, data, _, merged, _ = result
-        return given | {"text": cut(data, merged).decode() if merged or given["_text"] else None, "_changed": bool(merged)}
+        return {"rest": given["rest"], "text": cut(data, merged).decode() if given["some"] else None, "changed": bool(merged)}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return scan(df.withColumn("_text", F.col("text").isNotNull()), items, row, f"{fields}, _changed boolean").select(*names, "_changed")
+    found = search(packed, bench, row, StructType([packed.schema["rest"], *StructType.fromDDL("text string, changed boolean")]))
+    return found.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in df.columns], F.col("changed").alias(changed))
