@@ -6,25 +6,28 @@ one, down to single characters. A text's language is the one with the highest me
 
 Training counts words and n-grams of a bounded, hash-chosen sample of labelled rows; prediction reads every
 whole text. Edge cases: a null text, or one without a letter, gives ``und`` with score 0; with no labelled row
-at all every text gives ``und``; ties go to the language that sorts first; rows with a null id or extra columns
-pass unchanged; an empty table gives an empty result with the same columns.
+at all every text gives ``und``; ties go to the language that sorts first; very long texts are read whole; repeated rows
+each count, and are each predicted; rows with a null id or extra columns pass unchanged, but for columns named
+lang_pred or score, which are replaced; an empty table gives an empty result with the same columns. Digits, fractions
+and other numbers are no letters.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, fold, in_chunks, mix, saved
+from tessera.llm.common import U64, discard, fold, in_chunks, mix, saved
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and marks after it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 
 
@@ -89,13 +92,14 @@ def sampled(rows: DataFrame, max_docs: int, least: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(top)) < F.try_element_at(rates, F.col("lang")))
 
 
-def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: int = 2, max_entries: int = 150_000, least: int = 200) -> Model:
+def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: int = 2, max_entries: int = 150_000, max_cells: int = 2_000_000, least: int = 200) -> Model:
     """Fit from rows (text, lang), lang not null.
 
     ``max_docs`` bounds the sample (in expectation; rows are chosen by their hash, so not by order) but for rare
     languages, of each of which about ``least`` rows are drawn whatever the size of the table,
     ``min_count`` drops words and n-grams seen less often, ``max_entries`` bounds each table of the model, by
-    the largest share of a language's counts, so that what is collected and sent to the workers has a fixed size.
+    the largest share of a language's counts, and ``max_cells`` its entries times languages, so that what is collected
+    and sent to the workers has a fixed size however many languages there are.
     """
     sample = sampled(rows.where(F.col("lang").isNotNull()), max_docs, least).select("text", "lang")
     counts = in_chunks(sample, lambda b: counted(b, max_n), "lang string, n int, word string, key long, count long")
@@ -106,10 +110,11 @@ def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: in
     sums: dict[int, dict[str, int]] = {}
     for x in by_key.select("n", F.explode("by").alias("lang", "count")).groupBy("n", "lang").agg(F.sum("count").alias("count")).collect():
         sums.setdefault(x["n"], {})[x["lang"]] = x["count"]
+    rows_each = min(max_entries, max(1, max_cells // max(1, len(sums.get(0, {})))))
     for n in range(max_n + 1):
         of = F.from_json(F.lit(json.dumps(sums.get(n, {}))), "map<string,long>")
         share = F.array_max(F.transform(F.map_entries("by"), lambda e: e["value"] / F.try_element_at(of, e["key"])))
-        found.append(by_key.where(F.col("n") == n).orderBy(F.desc(share), F.desc("total"), "word", "key").limit(max_entries).select("word", "key", "by").toArrow())
+        found.append(by_key.where(F.col("n") == n).orderBy(F.desc(share), F.desc("total"), "word", "key").limit(rows_each).select("word", "key", "by").toArrow())
         for x in found[-1].column("by").to_pylist():
             langs.update(k for k, _ in x)
     langs = sorted(langs)
@@ -122,6 +127,7 @@ def train(rows: DataFrame, max_docs: int = 12_000, max_n: int = 4, min_count: in
                 m[i, at[k]] = v
         total = np.maximum(m.sum(axis=0), 1)
         tables.append(np.log((m + 0.1) / (total + 0.1 * max(1, len(m)))).astype(np.float32))
+    discard(by_key)
     words = {w: i for i, w in enumerate(found[0].column("word").to_pylist())}
     keys, scores = [], []
     for n in range(1, max_n + 1):

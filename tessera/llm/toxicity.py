@@ -5,8 +5,13 @@ of words. Its risk is prior * P's positive loss + max(0, U's negative loss - pri
 corrected estimate of the loss on the unknown negatives, held at zero or above so that a flexible model cannot drive
 it below. The class prior comes from the learnable labels, or as a parameter.
 
-Edge cases: a null or empty text has no words and scores by the bias alone; with no confirmed row every score is 0;
-repeated label rows count as toxic if one of them does; labels without a document are ignored.
+A word takes part if it sets P apart from U more clearly than the largest of so many chance differences would; it may
+speak for toxicity or against it. The weights have a prior of fixed width, so few confirmed rows give small weights.
+
+Edge cases: a null or empty text has no words and scores by the bias alone; very long texts are read whole; with no
+confirmed row every score is 0; repeated rows of documents are each scored, and each may be drawn as unlabelled;
+repeated label rows count as toxic if one of them does; words of equal clarity are taken in their own order; labels
+without a document are ignored; other columns are not read and not returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, as_bytes, fold, hash_sample, in_chunks, saved
+from tessera.llm.common import ALNUM, as_bytes, discard, fold, hash_sample, in_chunks, saved
 
 
 @dataclass
@@ -60,9 +65,9 @@ def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([p[w] for w in words], pa.int64()), pa.array([u[w] for w in words], pa.int64())], names=["word", "p", "u"])
 
 
-def fit(x: list[np.ndarray], positive: np.ndarray, drawn: np.ndarray, size: int, prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Non-negative PU risk with the logistic loss, by projected Adam over all rows at once; x holds each row's word
-    numbers. Word weights are held at zero or above."""
+def fit(x: list[np.ndarray], positive: np.ndarray, drawn: np.ndarray, size: int, prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 0.04) -> tuple[np.ndarray, float]:
+    """Non-negative PU risk with the logistic loss, by Adam over all rows at once; x holds each row's word numbers.
+    ``ridge`` holds the weights as so many confirmed rows would."""
     row = np.repeat(np.arange(len(x)), [len(v) for v in x])
     col = np.concatenate(x) if x else np.zeros(0, np.int64)
     n_p, n_u = max(1, positive.sum()), max(1, drawn.sum())
@@ -77,16 +82,16 @@ def fit(x: list[np.ndarray], positive: np.ndarray, drawn: np.ndarray, size: int,
         # below zero the estimate has been overfitted: step back along it instead
         g = g + (in_u - prior * in_p) * s if rest >= 0 else -(in_u - prior * in_p) * s
         grad = np.append(np.bincount(col, weights=g[row], minlength=size), g.sum())
-        grad[:-1] += ridge * w[:-1]
+        grad[:-1] += ridge / n_p * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w[:-1] = np.maximum(w[:-1], 0)
     return w[:-1], float(w[-1])
 
 
-def train(df: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 8000, n_words: int = 400, min_docs: int = 2) -> Model:
+def train(df: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 8000, n_words: int = 10_000, min_docs: int = 2) -> Model:
     """Fit on samples whose bounds are parameters: ``max_positive`` confirmed and ``max_unlabelled`` other rows (in
-    expectation), and the ``n_words`` words that set P apart from U most clearly."""
+    expectation). ``n_words`` bounds the model that is sent to the tasks: the clearest words are taken; a word of fewer
+    than ``min_docs`` sampled rows says nothing."""
     known = labels.where(F.col("toxic").isNotNull())
     share, n = known.select(F.avg((F.col("toxic") == 1).cast("double")), F.count("*")).first()
     if not n or not share:
@@ -100,10 +105,12 @@ def train(df: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
     a, b = F.col("p") / n_p, F.col("u") / n_u
     both = (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (a - b) / F.sqrt(both * (1 - both) * (1.0 / n_p + 1.0 / n_u) + 1e-12)
-    counts = counts.where(F.col("p") >= min_docs).withColumn("z", z)
-    # beyond what the largest of so many chance differences reaches, and more likely toxic than not
+    counts = counts.where(F.col("p") + F.col("u") >= min_docs).withColumn("z", z)
+    # beyond what the largest of so many chance differences reaches; a word for toxicity stands in a confirmed row
+    # twice, and more likely in toxic rows than not
     least = float(np.sqrt(2 * np.log(max(2, counts.count()))))
-    best = counts.where((F.col("z") > least) & (prior * a >= 0.5 * b)).orderBy(F.desc("z"), "word").limit(n_words)
+    toxic = (F.col("p") >= min_docs) & (prior * a >= 0.5 * b)
+    best = counts.where((F.abs("z") > least) & ((F.col("z") < 0) | toxic)).orderBy(F.desc(F.abs("z")), "word").limit(n_words)
     words = {bytes(r["word"]): i for i, r in enumerate(best.select("word").collect())}
 
     def numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,6 +121,7 @@ def train(df: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
     x = [np.array(v, dtype=np.int64) for v in data.column("x").to_pylist()]
     positive, drawn = (np.array(data.column(c).to_pylist(), float) for c in ("positive", "drawn"))
     weights, bias = fit(x, positive, drawn, len(words), prior)
+    discard(rows)
     return Model(words, weights, bias)
 
 
