@@ -15,7 +15,9 @@ A word is removed if it lies in a window that also starts in a document of small
 
 Edge cases: null, empty and short texts have no window and keep all words; rows with a null id neither remove nor are
 removed from; rows of equal id never remove each other's words, and each gets its own result; an empty table gives an
-empty result. Hash keys are 128 bits wide (anchor and segment, or anchor and window).
+empty result. Very long texts are read whole. A column named ``spans`` is replaced, as are those that begin with _row or
+_doc; other columns pass through. The spans of all rows of one id stand side by side in each of its rows, told apart by
+a key of the text. Hash keys are 128 bits wide (anchor and segment, or anchor and window).
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ def with_spans(df: DataFrame, size: int = 50, gram: int = 10) -> DataFrame:
     release(df.sparkSession)
     # a document has one row here unless rows repeat an id; the row key then decides
     by_doc = spans.groupBy("_doc").agg(F.collect_list(F.struct("_row", "spans")).alias("spans"))
-    return df.drop("spans").join(by_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return df.drop("spans", "_doc", "_row").join(by_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
 
 
 def own(spans: list[dict] | None, data: bytes) -> list[dict]:

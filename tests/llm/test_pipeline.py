@@ -63,3 +63,10 @@ def test_near_duplicates_keep_every_clean_text_of_an_id(spark):
     rows = [(1, a), (5, a + " x"), (5, b), (5, b), (9, b + " y"), (9, c), (9, ""), (None, a)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (5, b), (9, c), (9, ""), (None, a)], key=str)
+
+
+def test_empty_documents(spark, setting, tmp_path):
+    folder = str(tmp_path)
+    spark.read.parquet(f"{setting[0]}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{setting[0]}/benchmark.parquet").limit(0).write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
