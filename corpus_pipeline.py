@@ -61,9 +61,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every run of ten words (or a whole shorter item) of the benchmark."""
-    items = decontam.benchmark_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bench = decontam.Benchmark(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     _, rest = _rest(docs)
-    return _edited(decontam.clean(docs.select("doc_id", "text", rest.alias("_rest")), items), docs)
+    return _edited(decontam.clean(docs.select("doc_id", "text", rest.alias("_rest")), bench), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The first stage's classifier and the last stage's packing have no SQL form; each stage is tested by brute force.
+#: None: the first stage's classifier and the last stage's packing have no SQL form; each stage is tested by brute force.
 ORACLE_SQL = None
 
 
