@@ -172,13 +172,45 @@ def flatten_struct(prefix: str, column: str, names: list[str]) -> list[Column]:
 
 
 def dimensions(scores: Column, ids: list[str]) -> list[Column]:
-    """Two columns for each dimension of a map of (score, confidence, evidence)."""
+    """Two columns for each dimension of a map of (score, confidence, evidence); a score without confidence has 0."""
     out = []
     for i in ids:
         d = F.try_element_at(scores, F.lit(i))
-        out += [d["score"].alias(f"dim_{i}"), F.when(d.isNotNull(), F.coalesce(d["confidence"], F.lit(0.0))).alias(f"dim_{i}_confidence")]
+        out += [d["score"].alias(f"dim_{i}"), F.when(d["score"].isNotNull(), F.coalesce(d["confidence"], F.lit(0.0))).alias(f"dim_{i}_confidence")]
     return out
 
 
 def json_or_null(m: Column) -> Column:
     return F.when(F.size(m) > 0, F.to_json(m))
+
+
+def properties(**columns: Column) -> Column:
+    """A node's stored properties as JSON: null ones are left out."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()]), {"ignoreNullFields": "true"})
+
+
+def or_default(text: Column, default: str = "Not identified") -> Column:
+    """Text for a prompt: a default where it is null or empty."""
+    return F.when(truthy(text), text).otherwise(F.lit(default))
+
+
+def template(text: str, **values: Column) -> Column:
+    """A prompt: ``{name}`` in the text stands for a value; nulls are empty."""
+    out = F.lit(text)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def overlay(props: Column, updates: Column) -> Column:
+    """A property map under a map of updates: an update replaces, a null update removes its key."""
+    empty = F.create_map().cast("map<string,string>")
+    p, u = F.coalesce(props, empty), F.coalesce(updates, empty)
+    kept = F.map_filter(p, lambda k, _: ~F.map_contains_key(u, k))
+    return F.map_concat(kept, F.map_filter(u, lambda _, v: v.isNotNull()))
+
+
+def merged_share(merged: Column, existing: Column, of: list[str]) -> Column:
+    """Share of the given keys that have a value in either of two score maps."""
+    has = lambda m, k: F.try_element_at(m, F.lit(k)).isNotNull()
+    return sum((F.coalesce(has(merged, k) | has(existing, k), F.lit(False)).cast("int") for k in of), F.lit(0)) / F.lit(float(len(of)))

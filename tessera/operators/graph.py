@@ -90,3 +90,8 @@ def mentions(words: list[str], *columns: str) -> Column:
     """Any of the words in the texts, in any case."""
     text = F.lower(F.concat_ws(" ", *columns))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w.lower())) for w in words])
+
+
+def in_order(rows: DataFrame, by: list[str], index: str, value: str, name: str = "outputs") -> DataFrame:
+    """Values of each group as a list in the order of their index, however they came; a group is one batch."""
+    return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, value))), lambda x: x[value]).alias(name))

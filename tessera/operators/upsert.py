@@ -73,3 +73,47 @@ def last_role(engaged: DataFrame, roles: DataFrame, keys: list[str]) -> DataFram
     """Edges with the role written last (by seq)."""
     last = roles.groupBy(*keys).agg(F.max_by("role", "seq").alias("role"))
     return engaged.drop("role").join(last, keys, "left")
+
+
+def ensure_accounts(accounts: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """Accounts with those that are missing, named by their id where no name is given."""
+    new = seen.select("tenant_id", "account_id", F.coalesce("name", "account_id").alias("name"), now.cast("timestamp").alias("created_at"))
+    return append_absent(accounts, new, ["tenant_id", "account_id"])
+
+
+def engaged_on(edges: DataFrame, seen: DataFrame, contacts: DataFrame, deals: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(edges, matched) for (tenant_id, contact_id, opportunity_id, source, seq): an edge between a known contact and a
+    known deal keeps its first source; matched counts the pairs of each deal, known before or not."""
+    key = ["tenant_id", "contact_id", "opportunity_id"]
+    known = seen.join(contacts.select("tenant_id", "contact_id"), ["tenant_id", "contact_id"], "left_semi").join(deals.select("tenant_id", "opportunity_id"), ["tenant_id", "opportunity_id"], "left_semi")
+    first = known.groupBy(*key).agg(F.min_by("source", "seq").alias("source")).withColumn("created_at", now.cast("timestamp"))
+    matched = known.select(*key).distinct().groupBy("tenant_id", "opportunity_id").agg(F.count("*").alias("matched"))
+    return append_absent(edges, first, key), matched
+
+
+def outcomes(results: DataFrame, by: list[str]) -> DataFrame:
+    """Results (by, item_id, error) as counts, the failed ids with their errors, and the flags that follow."""
+    failed = F.col("error").isNotNull()
+    rows = results.groupBy(*by).agg(F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"), F.sort_array(F.collect_list(F.when(failed, F.struct("item_id", "error")))).alias("errors"))
+    return rows.withColumns({"all_succeeded": F.col("failed") == 0, "all_failed": (F.col("succeeded") == 0) & (F.col("failed") > 0), "partial": (F.col("succeeded") > 0) & (F.col("failed") > 0)})
+
+
+def add_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Schema evolution: missing columns are added as nulls, those that are there stay."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns})
+
+
+def upsert_interactions(target: DataFrame, source: DataFrame, keys: list[str], fill: list[str], update: list[str], now: Column) -> DataFrame:
+    """Interactions after a run: ``fill`` columns stay once they are set, ``update`` columns are the run's, and
+    processed_at is set on those that were there before."""
+    known = target.select(*keys).withColumn("_known", F.lit(True))
+    rows = source.join(known, keys, "left").withColumn("processed_at", F.when(F.col("_known"), now.cast("timestamp"))).drop("_known")
+    return upsert(target, rows, keys, update=[*update, "processed_at"], fill=fill)
+
+
+def relate(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """RELATED_TO edges (tenant_id, src_id, dst_id, confidence) between an item and the stored one it was decided to be
+    related to, the smaller id first; the surest decision of a new pair counts, existing edges stay."""
+    a, b = F.col("action_item_id"), F.col("vec_id")
+    pairs = rows.where(a != b).select("tenant_id", F.least(a, b).alias("src_id"), F.greatest(a, b).alias("dst_id"), "confidence")
+    return append_absent(edges, pairs.groupBy("tenant_id", "src_id", "dst_id").agg(F.max("confidence").alias("confidence")), ["tenant_id", "src_id", "dst_id"])

@@ -1,38 +1,117 @@
-"""Exact vector search, matching and routing."""
+"""Exact vector search, matching and routing.
+
+Search compares whole blocks: queries and vectors are dealt into blocks, each pair of blocks is one matrix product, and
+only its best k per query leave the task; a last ranking joins the blocks. A hot scope is cut into blocks like any other
+rows, so no task holds more than one block of each side.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
-from tessera.functions.scalars import cosine, norm, scaled
+from tessera.functions.scalars import scaled
 from tessera.operators.graph import top
+from tessera.shipping import ship
+
+#: Rows of a block, of queries and of vectors.
+QUERY_BLOCK, INDEX_BLOCK = 2_000, 20_000
+#: Groups of scopes, by hash: a task takes the blocks of all scopes of one group together.
+SCOPES = 256
+
+
+def unit(vectors: list) -> np.ndarray:
+    """Rows of unit length in double precision; a zero or missing vector stays zero, shorter ones are padded."""
+    rows = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in vectors]
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of every row of a with every row of b, to six places."""
+    d = min(a.shape[1], b.shape[1])
+    return np.round(a[:, :d] @ b[:, :d].T, 6) + 0.0
+
+
+def blocks(n: int, size: int) -> int:
+    return max(1, -(-n // size))
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """Places of the k best scores at or above the floor, ties to the smaller id."""
+    at = np.flatnonzero(score >= floor)
+    if len(at) > k:
+        least = np.partition(score[at], len(at) - k)[len(at) - k]
+        at = at[score[at] >= least]
+    return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 10, min_score: float = 0.7, by: list[str] | None = None, scale: str = "cosine", post_filter: bool = False) -> DataFrame:
-    """Top k of ``index`` (vec_id, embedding[, embedding_current], scope columns) for each query (query_id, query).
+    """Top k of ``index`` (vec_id, embedding[, embedding_current], scope columns) for each query (query_id, query), as
+    query_id, vec_id, score and the scope columns.
 
-    The scope columns ``by`` join first, so only an account's own vectors are scored. With ``post_filter`` the k best
-    of all scopes are taken before scope and score are applied (queries are then a stated, small set). Norms are
-    computed once a row, both stored vectors count by the better score, ties go to the smaller id.
+    Only vectors of the query's scope ``by`` are compared. With ``post_filter`` the k best of all scopes are taken before
+    scope and score are applied. Both stored vectors count by the better score, ties go to the smaller id; a null scope
+    matches nothing.
     """
     by = by or []
-    q = queries.withColumn("_nq", norm(F.col("query")))
-    x = index.withColumn("_nx", norm(F.col("embedding")))
-    score = cosine(F.col("query"), F.col("embedding"), F.col("_nq"), F.col("_nx"))
-    if "embedding_current" in index.columns:
-        score = F.greatest(score, F.when(F.col("embedding_current").isNotNull(), cosine(F.col("query"), F.col("embedding_current"), F.col("_nq"))))
-    order = [F.desc("score"), F.asc("vec_id")]
-    if post_filter:
-        pairs = q.join(x.withColumnsRenamed({c: f"_x_{c}" for c in by}))
-        found = top(pairs.withColumn("score", F.round(scaled(score, scale), 6)), order, k, ["query_id"])
-        for c in by:
-            found = found.where(F.col(c) == F.col(f"_x_{c}"))
-    else:
-        pairs = q.join(x, by) if by else q.join(x)
-        found = top(pairs.withColumn("score", F.round(scaled(score, scale), 6)).where(F.col("score") >= min_score), order, k, ["query_id"])
-    return found.where(F.col("score") >= min_score).select("query_id", "vec_id", "score", *by)
+    scaled(F.lit(0.0), scale)
+    two = "embedding_current" in index.columns
+    kinds = queries.schema["query_id"].dataType.simpleString(), index.schema["vec_id"].dataType.simpleString()
+    scope = F.to_json(F.struct(F.lit(0).alias("_"), *by))
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    none = F.lit(None)
+    q = queries.where(known).select(F.lit(0).alias("side"), F.col("query_id"), none.cast(kinds[1]).alias("vec_id"), F.col("query").cast("array<double>").alias("a"), none.cast("array<double>").alias("b"), scope.alias("scope"))
+    x = index.where(known | F.lit(post_filter)).select(F.lit(1).alias("side"), none.cast(kinds[0]).alias("query_id"), "vec_id", F.col("embedding").cast("array<double>").alias("a"), (F.col("embedding_current") if two else none).cast("array<double>").alias("b"), scope.alias("scope"))
+    group = F.lit("") if post_filter else F.col("scope")
+    q, x = q.withColumn("g", group), x.withColumn("g", group)
+    # each scope has blocks of its own; small scopes share a task by their hash
+    sizes = q.groupBy("g").agg(F.count("*").alias("n")).join(x.groupBy("g").agg(F.count("*").alias("m")), "g")
+    sizes = sizes.select("g", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("m") / INDEX_BLOCK).cast("int").alias("nx"))
+    at = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = q.join(sizes, "g").withColumn("i", at("query_id", "nq")).withColumn("j", span("nx")).unionByName(x.join(sizes, "g").withColumn("j", at("vec_id", "nx")).withColumn("i", span("nq")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(SCOPES)))
+    floor = -np.inf if post_filter else min_score
+
+    def one(left: pd.DataFrame, right: pd.DataFrame, out: list[tuple]) -> None:
+        ids, other = right["vec_id"].to_numpy(), right["scope"].to_numpy()
+        queries, vectors = unit(list(left["a"])), unit(list(right["a"]))
+        current, has = (unit(list(right["b"])), right["b"].notna().to_numpy()) if two else (None, None)
+        names, scopes = left["query_id"].to_numpy(), left["scope"].to_numpy()
+        for n in range(0, len(left), 256):
+            part = cosines(queries[n : n + 256], vectors)
+            if two:
+                part = np.where(has, np.maximum(part, cosines(queries[n : n + 256], current)), part)
+            if scale == "unit_interval":
+                part = np.round((1 + part) / 2, 6)
+            for row, score in enumerate(part, n):
+                found = best_of(score, ids, k, floor)
+                out += zip([names[row]] * len(found), ids[found].tolist(), score[found].tolist(), [scopes[row]] * len(found), other[found].tolist(), strict=True)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for _, block in pdf.groupby("g", sort=False):
+            side = block["side"].to_numpy()
+            if side.min() == 0 and side.max() == 1:
+                one(block[side == 0], block[side == 1], out)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "scope", "other"])
+
+    ship(queries.sparkSession)
+    found = rows.groupBy("part", "i", "j").applyInPandas(compare, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double, scope string, other string")
+    found = top(found, [F.desc("score"), F.asc("vec_id")], k, ["query_id", "scope"]).where((F.col("score") >= min_score) & (F.col("scope") == F.col("other")))
+    if not by:
+        return found.select("query_id", "vec_id", "score")
+    names = F.from_json("scope", ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in by))
+    return found.withColumn("_s", names).select("query_id", "vec_id", "score", *[F.col("_s").getField(c).alias(c) for c in by])
 
 
 def merged(*searches: DataFrame, k: int) -> DataFrame:
@@ -44,11 +123,32 @@ def merged(*searches: DataFrame, k: int) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, group: str, min_score: float = 0.5, n: int = 20) -> DataFrame:
-    """The n most similar pairs of different groups."""
-    a = vectors.select(F.col("vec_id").alias("a"), F.col(group).alias("ga"), F.col("embedding").alias("ea"), norm(F.col("embedding")).alias("na"))
-    b = a.toDF("b", "gb", "eb", "nb")
-    score = F.round(cosine(F.col("ea"), F.col("eb"), F.col("na"), F.col("nb")), 6)
-    pairs = a.join(b, (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b", score.alias("score")).where(F.col("score") > min_score)
+    """The n most similar pairs of different groups above a score, ties to the smaller ids. Every block is compared with
+    itself and the later ones; n pairs at most leave a task."""
+    m = blocks(vectors.count(), INDEX_BLOCK // 4)
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    rows = vectors.select("vec_id", F.col(group).cast("string").alias("g"), F.col("embedding").cast("array<double>").alias("v"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        a, b, ga, gb = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["g"].to_numpy(), right["g"].to_numpy()
+        x, y = unit(list(left["v"])), unit(list(right["v"]))
+        best = pd.DataFrame({"a": a[:0], "b": a[:0], "score": np.zeros(0)})
+        for k in range(0, len(a), 256):
+            score = cosines(x[k : k + 256], y)
+            # a null group is in no pair, as NULL differs from nothing
+            ok = (score > min_score) & (ga[k : k + 256, None] != gb[None, :]) & pd.notna(ga[k : k + 256])[:, None] & pd.notna(gb)[None, :]
+            ok &= a[k : k + 256, None] < b[None, :] if i == j else a[k : k + 256, None] != b[None, :]
+            r, c = np.nonzero(ok)
+            found = pd.DataFrame({"a": np.minimum(a[k + r], b[c]), "b": np.maximum(a[k + r], b[c]), "score": score[r, c]})
+            best = pd.concat([best, found]).sort_values(["score", "a", "b"], ascending=[False, True, True]).head(n)
+        return best
+
+    ship(vectors.sparkSession)
+    pairs = rows.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
     return pairs.orderBy(F.desc("score"), "a", "b").limit(n)
 
 

@@ -12,14 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import schemas as S
 from tessera.functions import scalars as X
 from tessera.functions.udfs import embedder, name_similarity, normalize_name
 from tessera.operators import graph as G
+from tessera.operators import mirror as M
 from tessera.operators import resolve as R
 from tessera.operators import upsert as U
 from tessera.operators import vector as V
-from tessera.sources import envelopes as E
+from tessera.plans import deals as D
+from tessera.plans import topics as T
+from tessera.plans.pipelines import run_items
 from tessera.shipping import ship
+from tessera.sources import envelopes as E
 from tessera.streaming.runner import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,14 +53,17 @@ class Data:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def items(self) -> DataFrame:
+    def items(self, accounts: bool = True) -> DataFrame:
+        """Action items; the account of each costs a join, so it is left out where it is not used."""
         li = self.lineitem.select(
             F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("item_id"), F.col("l_orderkey").alias("interaction_id"), F.col("l_partkey").alias("topic_id"), F.col("l_suppkey").alias("owner_id"), F.col("l_shipdate").alias("created_at"),
             F.when(F.col("l_linestatus") == "O", "open").when(F.col("l_returnflag") == "A", "completed").when(F.col("l_returnflag") == "R", "cancelled").otherwise("in_progress").alias("status"),
             (1 + F.floor("l_quantity") % 5).alias("impact"), (1 + F.floor(F.round(F.col("l_discount") * 100)) % 5).alias("urgency"), (1 + F.floor(F.round(F.col("l_tax") * 100)) % 5).alias("specificity"), F.round(1 - F.col("l_discount"), 2).alias("confidence"))
-        orders = self.orders.select(F.col("o_orderkey").alias("interaction_id"), F.col("o_custkey").alias("account_id"))
         score = X.priority_score(F.col("impact"), F.col("urgency"), F.col("specificity"), F.col("confidence"))
-        return li.join(orders, "interaction_id").withColumn("priority_score", score)
+        li = li.withColumn("priority_score", score)
+        if not accounts:
+            return li
+        return li.join(self.orders.select(F.col("o_orderkey").alias("interaction_id"), F.col("o_custkey").alias("account_id")), "interaction_id")
 
     def vectors(self) -> DataFrame:
         return self.embeddings
@@ -109,7 +117,7 @@ def q4_history(spark, sf):
 @query(f"WITH {ITEMS}, n AS (SELECT topic_id, count(*) AS n FROM items GROUP BY 1) SELECT p_brand AS account, p_partkey AS topic_id, n.n AS item_count FROM part JOIN n ON n.topic_id = p_partkey QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n.n DESC, p_partkey) <= 50")
 def q6_topics_for_account(spark, sf):
     d = Data(spark, sf)
-    n = d.items().groupBy("topic_id").agg(F.count("*").alias("item_count"))
+    n = d.items(False).groupBy("topic_id").agg(F.count("*").alias("item_count"))
     rows = d.part.select(F.col("p_brand").alias("account"), F.col("p_partkey").alias("topic_id")).join(n, "topic_id")
     return G.top(rows, [F.desc("item_count"), F.asc("topic_id")], 50, ["account"]).select("account", "topic_id", "item_count")
 
@@ -118,7 +126,7 @@ def q6_topics_for_account(spark, sf):
 def q7_topic_with_items(spark, sf):
     d = Data(spark, sf)
     topics = d.part.select(F.col("p_partkey").alias("topic_id"))
-    rows = G.children(topics, d.items().where(F.col("status") == "cancelled"), ["topic_id"], ["item_id", "confidence"], "items")
+    rows = G.children(topics, d.items(False).where(F.col("status") == "cancelled"), ["topic_id"], ["item_id", "confidence"], "items")
     return rows.select("topic_id", F.array_join(F.sort_array(F.col("items.item_id")), ",").alias("members"), F.size("items").cast("long").alias("elements"))
 
 
@@ -126,7 +134,7 @@ def q7_topic_with_items(spark, sf):
 def q9_owners_of_items(spark, sf):
     d = Data(spark, sf)
     owners = d.supplier.select(F.col("s_suppkey").alias("owner_id"), F.col("s_name").alias("name"))
-    return G.linked_once(owners, G.at_least(d.items(), priority_score=0.95), ["owner_id"])
+    return G.linked_once(owners, G.at_least(d.items(False), priority_score=0.95), ["owner_id"])
 
 
 @query("SELECT o_custkey AS account_id, o_orderkey AS deal_id, o_orderdate AS updated_at FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 50")
@@ -140,16 +148,23 @@ def q13_latest_version(spark, sf):
     return G.latest(history(Data(spark, sf)), ["account_id"], "version").select("account_id", "deal_id", "version", "stage")
 
 
-@query(f"WITH {ITEMS} SELECT s_name AS owner, p_brand AS topic, status, count(*) AS n, count(DISTINCT interaction_id) AS interactions, round(sum(priority_score), 3) AS score FROM items JOIN supplier ON owner_id = s_suppkey JOIN part ON topic_id = p_partkey GROUP BY 1, 2, 3")
+@query(f"WITH {ITEMS} SELECT item_id, s_name AS owner, p_name AS topic, coalesce(string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority), '') AS titles FROM items LEFT JOIN supplier ON owner_id = s_suppkey AND s_acctbal > 0 LEFT JOIN part ON topic_id = p_partkey AND p_size > 10 LEFT JOIN orders ON o_orderkey = interaction_id AND o_orderstatus <> 'P' GROUP BY 1, 2, 3")
 def q15_items_report(spark, sf):
     d = Data(spark, sf)
-    rows = d.items().join(d.supplier, F.col("owner_id") == F.col("s_suppkey")).join(d.part, F.col("topic_id") == F.col("p_partkey"))
-    return rows.groupBy(F.col("s_name").alias("owner"), F.col("p_brand").alias("topic"), "status").agg(F.count("*").alias("n"), F.countDistinct("interaction_id").alias("interactions"), F.round(F.sum("priority_score"), 3).alias("score"))
+    owners = d.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("owner_id"), F.col("s_name").alias("owner"))
+    topics = d.part.where("p_size > 10").select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("topic"))
+    titles = d.orders.where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("interaction_id"), F.col("o_orderpriority").alias("title"))
+    rows = d.items(False).join(owners, "owner_id", "left").join(topics, "topic_id", "left").join(titles, "interaction_id", "left")
+    return rows.groupBy("item_id", "owner", "topic").agg(F.array_join(F.sort_array(F.collect_set("title")), "|").alias("titles"))
 
 
-@query("SELECT p_brand AS name, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS types, count(*) AS n FROM part GROUP BY 1")
+@query("WITH n AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT p_brand AS name, coalesce(n.n, 0) AS item_count, string_agg(CASE WHEN p_size > 25 THEN p_type END, '|' ORDER BY p_type, p_partkey) AS summaries FROM part LEFT JOIN n ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(CASE WHEN p_size > 25 THEN p_type END) > 0")
 def q16_topic_report(spark, sf):
-    return Data(spark, sf).part.groupBy(F.col("p_brand").alias("name")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), "|").alias("types"), F.count("*").alias("n"))
+    d = Data(spark, sf)
+    topics = d.part.select("p_partkey", F.col("p_brand").alias("name"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("summary"))
+    counted = G.counted(topics, d.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"], "item_count")
+    told = F.sort_array(F.collect_list(F.when(F.col("summary").isNotNull(), F.struct("summary", "p_partkey"))))
+    return counted.groupBy("name", "item_count").agg(told.alias("s")).where(F.size("s") > 0).select("name", "item_count", F.array_join(F.col("s.summary"), "|").alias("summaries"))
 
 
 @query("SELECT o_orderkey AS interaction_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY 1")
@@ -284,32 +299,80 @@ def v13_mode_router(spark, sf):
     return V.mode(d.events.select(F.col("user_id").cast("string").alias("tenant_id"), F.col("event_id").alias("opportunity_id")), deals).select("tenant_id", "opportunity_id", "mode")
 
 
-@query()
+CLUSTERS = f"""
+e AS (SELECT vec_id // 16 AS batch_id, vec_id AS item_idx, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) AS i, embedding FROM embeddings),
+sims AS (SELECT q.batch_id, q.i, list(round({COS}, 6) ORDER BY x.i) AS s FROM e q JOIN e x ON x.batch_id = q.batch_id AND x.i < q.i GROUP BY 1, 2),
+fold AS (SELECT batch_id, 1 AS i, [0] AS a FROM e WHERE i = 1
+ UNION ALL SELECT f.batch_id, f.i + 1, list_append(f.a, list_filter(range(0, list_max(f.a) + 2), lambda c: len(list_filter(range(1, len(f.a) + 1), lambda j: f.a[j] = c AND s.s[j] < 0.15)) = 0)[1]::INT) FROM fold f JOIN sims s ON s.batch_id = f.batch_id AND s.i = f.i + 1),
+done AS (SELECT batch_id, arg_max(a, i) AS a FROM fold GROUP BY 1),
+clusters AS (SELECT e.batch_id, e.item_idx, a[e.i]::BIGINT AS cluster_id FROM e JOIN done USING (batch_id))"""
+
+
+def batches(d: Data) -> DataFrame:
+    """Vectors in batches of sixteen, as one envelope's items."""
+    return d.vectors().select(F.floor(F.col("vec_id") / 16).alias("batch_id"), F.col("vec_id").alias("item_idx"), "embedding", F.col("vec_id").cast("string").alias("summary"))
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT * FROM clusters")
 def v5_clusters(spark, sf):
-    return R.cluster(Data(spark, sf).vectors().select(F.col("label").alias("batch_id"), F.col("vec_id").alias("item_idx"), "embedding"), threshold=0.15)
+    return R.cluster(batches(Data(spark, sf)), threshold=0.15)
 
 
-@query()
+@query(f"WITH RECURSIVE {CLUSTERS}, sized AS (SELECT batch_id, cluster_id, count(*) AS size, list(item_idx ORDER BY item_idx) AS m FROM clusters GROUP BY 1, 2) SELECT c.batch_id, c.item_idx, CASE WHEN size > 1 THEN 'merged ' || m[1] ELSE c.item_idx::VARCHAR END AS summary, c.cluster_id, size FROM clusters c JOIN sized USING (batch_id, cluster_id) WHERE c.item_idx = coalesce(m[2], m[1])")
 def v6_consolidated(spark, sf):
-    items = Data(spark, sf).vectors().select(F.col("label").alias("batch_id"), F.col("vec_id").alias("item_idx"), "embedding", F.col("vec_id").cast("string").alias("summary"))
+    items = batches(Data(spark, sf))
     clusters = R.cluster(items, threshold=0.15)
     decisions = clusters.where("cluster_id >= 0").groupBy("batch_id", "cluster_id").agg(F.lit(1).alias("primary_index"), F.concat(F.lit("merged "), F.min("item_idx")).alias("merged_summary"))
     return R.consolidate(items, clusters, decisions).select("batch_id", "item_idx", "summary", "cluster_id", "size")
 
 
-@query()
+@query("WITH w AS (SELECT p_partkey, unnest(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) AS w FROM part), h AS (SELECT p_partkey, ('0x' || left(md5(w), 6))::BIGINT % 16 AS i, CASE WHEN substr(md5(w), 7, 1) IN ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM w), v AS (SELECT p_partkey, list_transform(range(16), lambda d: coalesce(list_sum(list_transform(list_filter(list({'i': i, 's': s}), lambda x: x.i = d), lambda x: x.s)), 0)) AS v FROM h GROUP BY 1), n AS (SELECT p_partkey, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT p_partkey, array_to_string(list_transform(v, lambda x: round(CASE WHEN n > 0 THEN x / n ELSE x END * 1000)::BIGINT), ',') AS embedding FROM n")
 def v14_embeddings(spark, sf):
-    return Data(spark, sf).part.select("p_partkey", embedder(16)(X.collapse(F.col("p_name"))).alias("embedding"))
+    rows = Data(spark, sf).part.select("p_partkey", embedder(16)(X.collapse(F.col("p_name"))).alias("e"))
+    return rows.select("p_partkey", F.array_join(F.transform("e", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",").alias("embedding"))
+
+
+@query(f"WITH a AS ({TOPK}), b AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], list_reverse(x.embedding)::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings x ON q.label = x.label WHERE q.vec_id % 50 = 0 AND round(list_cosine_similarity(q.embedding::DOUBLE[], list_reverse(x.embedding)::DOUBLE[]), 6) >= 0.1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, x.vec_id) <= 10) SELECT query_id, vec_id, max(score) AS score FROM (SELECT query_id, vec_id, score FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, vec_id) <= 5")
+def a7_u1_merged_searches(spark, sf):
+    d = Data(spark, sf)
+    current = d.vectors().withColumn("embedding", F.reverse("embedding"))
+    search = lambda index: V.search(d.probes(), index, 10, 0.1, ["label"]).drop("label")
+    return V.merged(search(d.vectors()), search(current), k=5)
 
 
 # names and joins
 
 
-@query("SELECT tenant_id, name, owner_id, rank FROM (SELECT s.s_nationkey::VARCHAR AS tenant_id, upper(s.s_name) AS name, o.s_suppkey AS owner_id, 0 AS rank FROM supplier s JOIN supplier o ON o.s_nationkey = s.s_nationkey AND lower(o.s_name) = lower(s.s_name)) QUALIFY row_number() OVER (PARTITION BY tenant_id, name ORDER BY owner_id) = 1")
-def j4_owner_match(spark, sf):
-    s = Data(spark, sf).supplier.withColumn("tenant_id", F.col("s_nationkey").cast("string"))
-    owners = s.select("tenant_id", F.col("s_suppkey").alias("owner_id"), F.col("s_name").alias("canonical_name"), F.lit("2020-01-01").cast("timestamp").alias("created_at"), F.array().cast("array<string>").alias("aliases"))
-    return R.owner_match(s.select("tenant_id", F.upper("s_name").alias("name")), owners)
+NAMES = """
+o AS (SELECT s_nationkey::VARCHAR AS tenant_id, s_suppkey AS owner_id, s_name AS canonical_name, ['Mr ' || s_name] AS aliases, TIMESTAMP '2020-01-01' AS created_at, s_suppkey % 2 AS account_id, s_acctbal > 0 AS owned FROM supplier),
+n AS (SELECT s_nationkey::VARCHAR AS tenant_id, s_suppkey % 2 AS account_id, CASE s_suppkey % 5 WHEN 0 THEN ' ' || s_name WHEN 1 THEN 'Mr ' || s_name WHEN 2 THEN s_name || ' Jr' WHEN 3 THEN upper(s_name) ELSE 'Nobody ' || s_suppkey % 40 END AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'c' || s_suppkey END AS contact_id FROM supplier),
+hit AS (SELECT n.tenant_id, n.account_id, n.name, o.owner_id, o.created_at, CASE WHEN o.canonical_name = trim(n.name) THEN 0 WHEN list_contains(o.aliases, trim(n.name)) THEN 1 ELSE 2 END AS rank FROM (SELECT DISTINCT tenant_id, account_id, name FROM n) n JOIN o ON o.tenant_id = n.tenant_id
+ AND (o.canonical_name = trim(n.name) OR list_contains(o.aliases, trim(n.name)) OR (o.owned AND o.account_id = n.account_id AND
+  ((length(trim(n.name)) >= 3 AND (starts_with(lower(o.canonical_name), lower(trim(n.name))) OR ends_with(lower(o.canonical_name), lower(trim(n.name))) OR contains(lower(o.canonical_name), ' ' || lower(trim(n.name))) OR contains(lower(o.canonical_name), lower(trim(n.name)) || ' ')))
+   OR (starts_with(lower(trim(n.name)), lower(o.canonical_name)) OR ends_with(lower(trim(n.name)), lower(o.canonical_name)) OR contains(lower(trim(n.name)), ' ' || lower(o.canonical_name)) OR contains(lower(trim(n.name)), lower(o.canonical_name) || ' ')))))),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY tenant_id, account_id, name ORDER BY rank, created_at, owner_id) = 1)"""
+
+
+def named(d: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names to resolve, owners, who owns items of an account)."""
+    s, k = d.supplier.withColumn("tenant_id", F.col("s_nationkey").cast("string")).withColumn("account_id", F.col("s_suppkey") % 2), F.col("s_suppkey")
+    owners = s.select("tenant_id", k.alias("owner_id"), F.col("s_name").alias("canonical_name"), F.array(F.concat(F.lit("Mr "), "s_name")).alias("aliases"), F.lit(None).cast("string").alias("contact_id"), F.lit("2020-01-01").cast("timestamp").alias("created_at"))
+    name = F.when(k % 5 == 0, F.concat(F.lit(" "), "s_name")).when(k % 5 == 1, F.concat(F.lit("Mr "), "s_name")).when(k % 5 == 2, F.concat("s_name", F.lit(" Jr"))).when(k % 5 == 3, F.upper("s_name")).otherwise(F.concat(F.lit("Nobody "), k % 40))
+    names = s.select("tenant_id", "account_id", name.alias("name"), F.when(k % 3 == 0, F.concat(F.lit("c"), k)).alias("contact_id"))
+    return names, owners, s.where("s_acctbal > 0").select("tenant_id", "account_id", k.alias("owner_id"))
+
+
+@query(f"WITH {NAMES} SELECT n.tenant_id, n.account_id, n.name, best.owner_id, best.rank FROM (SELECT DISTINCT tenant_id, account_id, name FROM n) n LEFT JOIN best USING (tenant_id, account_id, name)")
+def j3_j4_owner_match(spark, sf):
+    return R.owner_match(*named(Data(spark, sf)))
+
+
+@query(f"WITH {NAMES}, r AS (SELECT n.tenant_id, trim(n.name) AS name, n.contact_id, best.owner_id FROM n LEFT JOIN best USING (tenant_id, account_id, name)), c AS (SELECT tenant_id, owner_id, list_sort(list_distinct(list(name))) AS names, min(contact_id) AS contact_id FROM r WHERE owner_id IS NOT NULL GROUP BY 1, 2) SELECT o.tenant_id, canonical_name, array_to_string(list_concat(aliases, coalesce(list_filter(names, lambda x: x <> canonical_name AND NOT list_contains(aliases, x)), [])), '|') AS aliases, c.contact_id, false AS created FROM o LEFT JOIN c ON c.tenant_id = o.tenant_id AND c.owner_id = o.owner_id UNION ALL SELECT tenant_id, name, '', min(contact_id), true FROM r WHERE owner_id IS NULL GROUP BY 1, 2")
+def w14_resolve_or_create(spark, sf):
+    names, owners, owned = named(Data(spark, sf))
+    text = lambda df: df.withColumn("owner_id", F.col("owner_id").cast("string"))
+    out, _ = R.resolve_or_create(names, text(owners), text(owned), F.lit("2024-01-01"))
+    return out.select("tenant_id", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "contact_id", (F.length("owner_id") == 36).alias("created"))
 
 
 @query("SELECT c_custkey AS account_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -324,25 +387,26 @@ def j5_positional_join(spark, sf):
     return c.select("conv_id", "turn", "role").join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role")), ["conv_id", "turn"])
 
 
-@query()
+@query("SELECT s_nationkey, lower(s_name) || 'x' AS name, s_name AS contact_name, round(2.0::DOUBLE * length(s_name) / (2 * length(s_name) + 1), 4) AS score FROM supplier")
 def j8_contact_match(spark, sf):
     s = Data(spark, sf).supplier
     contacts = s.select("s_nationkey", F.col("s_name").alias("contact_name"), F.col("s_suppkey").alias("pos"))
     return R.match_contacts(s.select("s_nationkey", F.concat(F.lower("s_name"), F.lit("x")).alias("name")), contacts, "s_nationkey").select("s_nationkey", "name", "contact_name", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("SELECT s_nationkey AS account_id, CASE s_suppkey % 4 WHEN 0 THEN upper(s_name) WHEN 1 THEN 'mr ' || s_name WHEN 2 THEN s_name || 'é' ELSE 'Nobody' END AS name, CASE WHEN s_suppkey % 4 < 3 THEN s_name END AS resolved, CASE s_suppkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' WHEN 2 THEN 'fuzzy' ELSE 'unresolved' END AS method FROM supplier GROUP BY ALL")
 def f11_name_resolution(spark, sf):
     s = Data(spark, sf).supplier
     owners = s.select(F.col("s_nationkey").alias("account_id"), F.col("s_name").alias("canonical_name"), F.array(F.concat(F.lit("Mr "), "s_name")).alias("aliases"))
-    names = s.select(F.col("s_nationkey").alias("account_id"), F.when(F.col("s_suppkey") % 3 == 0, F.upper("s_name")).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("mr "), "s_name")).otherwise(F.concat("s_name", F.lit("é"))).alias("name"))
+    k = F.col("s_suppkey") % 4
+    names = s.select(F.col("s_nationkey").alias("account_id"), F.when(k == 0, F.upper("s_name")).when(k == 1, F.concat(F.lit("mr "), "s_name")).when(k == 2, F.concat("s_name", F.lit("é"))).otherwise("Nobody").alias("name"))
     return R.resolve_names(names, owners)
 
 
-@query()
+@query("SELECT s_suppkey, lower(s_name) || 'e''x' AS normal, round(2.0::DOUBLE * 8 / (8 + length(s_name)), 4) AS similarity FROM supplier")
 def f8_f10_name_functions(spark, sf):
     s = Data(spark, sf).supplier
-    return s.select("s_suppkey", normalize_name("s_name").alias("normal"), F.round(name_similarity(F.col("s_name"), F.lit("Supplier")), 4).alias("similarity"))
+    return s.select("s_suppkey", normalize_name(F.concat(F.lit(" "), "s_name", F.lit("É’x "))).alias("normal"), F.round(name_similarity(F.col("s_name"), F.lit("Supplier")), 4).alias("similarity"))
 
 
 # scalar functions
@@ -350,7 +414,7 @@ def f8_f10_name_functions(spark, sf):
 
 @query(f"WITH {ITEMS} SELECT item_id, impact, urgency, specificity, confidence, priority_score FROM items")
 def f1_priority_scores(spark, sf):
-    return Data(spark, sf).items().select("item_id", "impact", "urgency", "specificity", "confidence", "priority_score")
+    return Data(spark, sf).items(False).select("item_id", "impact", "urgency", "specificity", "confidence", "priority_score")
 
 
 @query("SELECT c_custkey, round(((nullif(c_name, '') IS NOT NULL)::INT + (nullif(c_mktsegment, '') IS NOT NULL)::INT + (CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)) / 3.0, 6) AS completeness, CASE WHEN c_acctbal < 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS scored, CASE WHEN c_acctbal < 0 THEN round(1 / 15.0::DOUBLE, 6) ELSE round(2 / 15.0::DOUBLE, 6) END AS scored_of_15 FROM customer")
@@ -365,10 +429,11 @@ def f7_canonical_names(spark, sf):
     return Data(spark, sf).part.select("p_partkey", X.canonical_name(F.concat(F.lit("  "), "p_name", F.lit("   X "))).alias("canonical"), X.clip(F.col("p_type"), 5).alias("clipped"))
 
 
-@query("SELECT s_suppkey, regexp_matches('the ' || lower(s_name) || ' team', '\\b' || lower(s_name) || '\\b') AS inside, false AS equal_length, true AS affix FROM supplier")
+@query("WITH s AS (SELECT s_suppkey, lower(s_name) AS a, CASE s_suppkey % 4 WHEN 0 THEN 'the ' || s_name || ' team' WHEN 1 THEN s_name || 'son' WHEN 2 THEN s_name ELSE 'x' || s_name || 'x' END AS b FROM supplier) SELECT s_suppkey, length(a) < length(b) AND regexp_matches(lower(b), '\\b' || a || '\\b') AS inside, starts_with(lower(b), a) OR ends_with(lower(b), a) OR contains(lower(b), ' ' || a) OR contains(lower(b), a || ' ') AS affix FROM s")
 def f9_name_predicates(spark, sf):
-    long = F.concat(F.lit("the "), F.lower("s_name"), F.lit(" team"))
-    return Data(spark, sf).supplier.select("s_suppkey", X.word_boundary_match(F.col("s_name"), long).alias("inside"), X.word_boundary_match(F.col("s_name"), F.col("s_name")).alias("equal_length"), X.loose_affix_match(F.col("s_name"), long).alias("affix"))
+    k = F.col("s_suppkey") % 4
+    b = F.when(k == 0, F.concat(F.lit("the "), "s_name", F.lit(" team"))).when(k == 1, F.concat("s_name", F.lit("son"))).when(k == 2, F.col("s_name")).otherwise(F.concat(F.lit("x"), "s_name", F.lit("x")))
+    return Data(spark, sf).supplier.select("s_suppkey", X.word_boundary_match(F.lower("s_name"), b).alias("inside"), X.loose_affix_match(F.lower("s_name"), b).alias("affix"))
 
 
 @query("WITH h AS (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('customer:' || c_custkey)) AS h FROM customer) SELECT c_custkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17:17]) - 1)::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS id FROM h")
@@ -382,9 +447,14 @@ def f16_f17_ids(spark, sf):
     return Data(spark, sf).orders.select("o_orderkey", X.workflow_id("items", F.col("o_orderkey").cast("string")).alias("workflow"), X.reference(id_).alias("ref"))
 
 
-@query(f"WITH {ITEMS} SELECT item_id, CASE status WHEN 'open' THEN 'pending' ELSE status END AS mirrored, CASE WHEN impact > 3 AND status IN ('completed', 'in_progress', 'cancelled', 'deferred') THEN status ELSE 'open' END AS implied, 'prospecting' AS stage, 'negotiation' AS kept FROM items")
+STAGE = "CASE impact WHEN 1 THEN 'prospecting' WHEN 2 THEN 'proposal' WHEN 3 THEN 'closed_won' WHEN 4 THEN 'unheard of' END"
+
+
+@query(f"WITH {ITEMS} SELECT item_id, CASE status WHEN 'open' THEN 'pending' ELSE status END AS mirrored, CASE WHEN impact > 3 AND status IN ('completed', 'in_progress', 'cancelled', 'deferred') THEN status ELSE 'open' END AS implied, coalesce(CASE WHEN impact < 4 THEN {STAGE} END, 'prospecting') AS stage, coalesce(CASE WHEN impact < 4 THEN {STAGE} END, 'negotiation') AS kept FROM items")
 def f18_f19_vocabularies(spark, sf):
-    return Data(spark, sf).items().select("item_id", X.relational_status(F.col("status")).alias("mirrored"), X.implied_status(F.col("impact") > 3, F.col("status")).alias("implied"), X.new_stage(F.col("status")).alias("stage"), X.next_stage(F.lit("negotiation"), F.col("status")).alias("kept"))
+    i = F.col("impact")
+    stage = F.when(i == 1, "prospecting").when(i == 2, "proposal").when(i == 3, "closed_won").when(i == 4, "unheard of")
+    return Data(spark, sf).items(False).select("item_id", X.relational_status(F.col("status")).alias("mirrored"), X.implied_status(i > 3, F.col("status")).alias("implied"), X.new_stage(stage).alias("stage"), X.next_stage(F.lit("negotiation"), stage).alias("kept"))
 
 
 @query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE 'n/a' END AS TIMESTAMP) AS at, CASE WHEN o_orderkey % 2 = 0 THEN 'constraint' ELSE 'query' END AS store, CASE WHEN o_orderkey % 2 = 0 THEN 'rate_limit' ELSE 'model_error' END AS model FROM orders")
@@ -393,19 +463,22 @@ def f23_f29_times_and_errors(spark, sf):
     return Data(spark, sf).orders.select("o_orderkey", X.parse_time(F.when(even, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("n/a")).alias("at"), X.store_error(F.when(even, "Unique id violated").otherwise("bad syntax")).alias("store"), X.model_error(F.when(even, "Rate limit hit").otherwise("boom")).alias("model"))
 
 
-@query()
+@query("SELECT vec_id, len(embedding)::BIGINT AS dims, round(embedding[1]::DOUBLE, 5) AS first, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def f22_vector_literals(spark, sf):
-    return Data(spark, sf).vectors().select("vec_id", X.vector_literal(F.col("embedding")).alias("literal"))
+    literal = X.vector_literal(F.col("embedding"))
+    read = F.transform(F.split(F.regexp_extract(literal, r"^\[(.*)\]$", 1), ","), lambda x: x.cast("double"))
+    rows = Data(spark, sf).vectors().select("vec_id", read.alias("v"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("dims"), F.round(F.col("v")[0], 5).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 # projections, filters, verdicts
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN true ELSE l.quality = 1 AND (CASE WHEN l.toxic = 1 THEN 0.3 ELSE 0.9 END) >= 0.4 END AS kept, CASE WHEN l.doc_id IS NULL THEN 1.0::DOUBLE WHEN l.toxic = 1 THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("WITH v AS (SELECT o_custkey, arg_max(o_orderstatus <> 'P', o_orderkey) AS actionable, arg_max(CASE WHEN o_orderpriority = '1-URGENT' THEN 0.3 ELSE 0.9 END, o_orderkey) AS adjusted FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN o_custkey IS NULL THEN true ELSE actionable AND adjusted >= 0.4 END AS kept, coalesce(adjusted, 1.0)::DOUBLE AS confidence FROM customer LEFT JOIN v ON o_custkey = c_custkey")
 def p13_verdicts(spark, sf):
     d = Data(spark, sf)
-    verdicts = d.labels.select("doc_id", (F.col("quality") == 1).alias("actionable"), F.when(F.col("toxic") == 1, 0.3).otherwise(0.9).alias("adjusted"), F.lit(1).alias("pos"))
-    return R.apply_verdicts(d.documents.select("doc_id", F.lit(1.0).alias("confidence")), verdicts, ["doc_id"])
+    verdicts = d.orders.select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") != "P").alias("actionable"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.3).otherwise(0.9).alias("adjusted"), F.col("o_orderkey").alias("pos"))
+    return R.apply_verdicts(d.customer.select("c_custkey", F.lit(1.0).alias("confidence")), verdicts, ["c_custkey"])
 
 
 @query("SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS p, l_suppkey AS s, CASE WHEN l_returnflag = 'R' THEN 'meddic_champion,stage,stage' ELSE 'amount' END AS changed FROM lineitem")
@@ -469,18 +542,17 @@ def s8_manifest(spark, sf):
     return E.by_manifest(d.orders, manifest, "o_custkey", F.col("o_orderdate")).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"))
 
 
-@query("WITH r AS (SELECT o_custkey::VARCHAR AS run, o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'O' THEN 'created' WHEN 'F' THEN 'updated' ELSE 'none' END AS action FROM orders) SELECT run, count_if(action = 'created') AS created, count_if(action = 'updated') AS updated, sha256(run) AS dedup_key FROM r GROUP BY 1 HAVING count_if(action <> 'none') > 0")
+@query("WITH r AS (SELECT o_custkey::VARCHAR AS run, o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'O' THEN 'created' WHEN 'F' THEN 'updated' ELSE 'none' END AS action, o_shippriority + o_orderkey % 5 AS score FROM (SELECT *, 0 AS o_shippriority FROM orders)) SELECT run, coalesce(string_agg(CASE WHEN action = 'created' THEN id END, ',' ORDER BY id), '') AS created, coalesce(string_agg(CASE WHEN action = 'updated' THEN id END, ',' ORDER BY id), '') AS updated, '{' || string_agg('\"' || id || '\":' || score, ',' ORDER BY id) || '}' AS scores, sha256(run) AS dedup_key FROM r GROUP BY 1 HAVING count_if(action <> 'none') > 0")
 def s13_outbox(spark, sf):
-    rows = Data(spark, sf).orders.select(F.col("o_custkey").cast("string").alias("run"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "O", "created").when(F.col("o_orderstatus") == "F", "updated").otherwise("none").alias("action"), F.col("o_totalprice").alias("score"))
-    return U.outbox(rows, ["run"]).select("run", F.size("created_ids").cast("long").alias("created"), F.size("updated_ids").cast("long").alias("updated"), "dedup_key")
+    rows = Data(spark, sf).orders.select(F.col("o_custkey").cast("string").alias("run"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "O", "created").when(F.col("o_orderstatus") == "F", "updated").otherwise("none").alias("action"), (F.col("o_orderkey") % 5).alias("score"))
+    return U.outbox(rows, ["run"]).select("run", F.array_join("created_ids", ",").alias("created"), F.array_join("updated_ids", ",").alias("updated"), "scores", "dedup_key")
 
 
-@query("SELECT o_custkey::VARCHAR AS key, count_if(o_orderstatus = 'O') AS created, count_if(o_orderstatus = 'F') AS merged FROM orders GROUP BY 1 HAVING count_if(o_orderstatus IN ('O', 'F')) > 0")
+@query("SELECT o_custkey::VARCHAR AS key, '{\"tenant_id\":\"t\",\"account_id\":\"' || o_custkey || '\",\"interaction_id\":\"' || o_custkey || '\",\"created\":[' || coalesce(string_agg(CASE WHEN o_orderstatus = 'O' THEN '\"' || o_orderkey || '\"' END, ',' ORDER BY o_orderkey::VARCHAR), '') || '],\"merged\":[' || coalesce(string_agg(CASE WHEN o_orderstatus = 'F' THEN '\"' || o_orderkey || '\"' END, ',' ORDER BY o_orderkey::VARCHAR), '') || ']}' AS value FROM orders GROUP BY o_custkey HAVING count_if(o_orderstatus IN ('O', 'F')) > 0")
 def s14_deal_events(spark, sf):
-    ids = lambda s: F.collect_list(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey").cast("string")))
+    ids = lambda s: F.sort_array(F.collect_list(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey").cast("string"))))
     rows = Data(spark, sf).orders.groupBy(F.col("o_custkey").cast("string").alias("interaction_id")).agg(ids("O").alias("created"), ids("F").alias("merged")).withColumns({"tenant_id": F.lit("t"), "account_id": F.col("interaction_id")})
-    sent = E.deal_events(rows).withColumn("v", F.from_json("value", "created array<string>, merged array<string>"))
-    return sent.select("key", F.size("v.created").cast("long").alias("created"), F.size("v.merged").cast("long").alias("merged"))
+    return E.deal_events(rows)
 
 
 @query("SELECT c_nationkey::VARCHAR AS tenant_id, count(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY 1")
@@ -513,11 +585,13 @@ def w7_snapshots(spark, sf):
     return U.snapshot(state, d.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("account_id")), ["account_id"], {"valid_until": F.lit("2024-01-01").cast("timestamp")})
 
 
-@query("SELECT DISTINCT l_suppkey AS src_id, l_partkey AS dst_id FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("WITH old AS (SELECT ps AS src_id, pp AS dst_id, TIMESTAMP '2000-01-01' AS created_at FROM (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pp FROM lineitem WHERE l_returnflag = 'R')), new AS (SELECT DISTINCT l_suppkey AS src_id, l_partkey AS dst_id FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)) SELECT src_id, dst_id, coalesce(old.created_at, TIMESTAMP '2024-01-01') AS created_at FROM old FULL JOIN new USING (src_id, dst_id)")
 def w12_links(spark, sf):
     d = Data(spark, sf)
-    new = d.lineitem.select(F.col("l_suppkey").alias("src_id"), F.col("l_partkey").alias("dst_id"))
-    return U.link(new.limit(0), new, d.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("src_id")), d.part.where("p_size > 10").select(F.col("p_partkey").alias("dst_id")), ["src_id", "dst_id"])
+    link = d.lineitem.select(F.col("l_suppkey").alias("src_id"), F.col("l_partkey").alias("dst_id"), "l_returnflag")
+    old = link.where("l_returnflag = 'R'").select("src_id", "dst_id", F.lit("2000-01-01").cast("timestamp").alias("created_at")).distinct()
+    new = link.select("src_id", "dst_id", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    return U.link(old, new, d.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("src_id")), d.part.where("p_size > 10").select(F.col("p_partkey").alias("dst_id")), ["src_id", "dst_id"])
 
 
 @query("SELECT c_custkey AS contact_id, r.role FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS role FROM orders GROUP BY 1) r ON o_custkey = c_custkey")
@@ -574,3 +648,264 @@ def k_running_history(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def x_windowed_events(spark, sf):
     return windowed_counts(Data(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+# points, histories and reports of single tables
+
+
+@query("SELECT 'topic' AS kind, p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_partkey = 3 UNION ALL SELECT 'deal', o_orderkey::VARCHAR, o_orderpriority FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) UNION ALL SELECT 'interaction', conv_id::VARCHAR || ':' || turn, role FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations) AND turn = (SELECT min(turn) FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations))")
+def q5_q11_q14_points(spark, sf):
+    d = Data(spark, sf)
+    topic = G.point(d.part, p_partkey=3).select(F.lit("topic").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    first = d.orders.agg(F.min("o_orderkey")).first()[0]
+    deal = G.point(d.orders, o_orderkey=first).select(F.lit("deal"), F.col("o_orderkey").cast("string"), "o_orderpriority")
+    conv, turn = d.conversations.agg(F.min(F.struct("conv_id", "turn")).alias("m")).select("m.*").first()
+    talk = G.point(d.conversations, conv_id=conv, turn=turn).select(F.lit("interaction"), F.concat_ws(":", "conv_id", "turn"), "role")
+    return topic.unionAll(deal).unionAll(talk)
+
+
+@query("SELECT o_custkey AS topic_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_number, o_orderkey::VARCHAR AS version_id, o_orderpriority AS summary FROM orders WHERE o_custkey % 3 = 0")
+def q8_topic_history(spark, sf):
+    rows = Data(spark, sf).orders.where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("topic_id"), "o_orderdate", "o_orderkey", F.col("o_orderkey").cast("string").alias("version_id"), F.col("o_orderpriority").alias("summary"))
+    return T.topic_history(G.ranked(rows, [F.asc("o_orderdate"), F.asc("o_orderkey")], ["topic_id"], "version_number")).select("topic_id", "version_number", "version_id", "summary")
+
+
+@query("SELECT c_custkey AS account_id, o_orderkey AS deal_id, o_orderstatus AS stage, round(o_totalprice, 2) AS amount, strftime(o_orderdate, '%Y-%m-%d') AS created, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS versions FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def q19_deals_report(spark, sf):
+    d = Data(spark, sf)
+    deals = d.orders.join(d.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    counted = G.counted(deals, d.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"], "versions")
+    return counted.select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("deal_id"), F.col("o_orderstatus").alias("stage"), F.round("o_totalprice", 2).alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"), "versions").orderBy("created", "deal_id")
+
+
+@query("SELECT o_custkey AS run, count_if(o_orderstatus <> 'F') AS succeeded, count_if(o_orderstatus = 'F') AS failed, coalesce(string_agg(CASE WHEN o_orderstatus = 'F' THEN o_orderkey || ' ' || o_orderpriority END, '|' ORDER BY o_orderkey), '') AS errors, count_if(o_orderstatus = 'F') = 0 AS all_succeeded, count_if(o_orderstatus <> 'F') = 0 AS all_failed, count(DISTINCT o_orderstatus = 'F') = 2 AS partial, avg(o_totalprice) AS mean FROM orders GROUP BY 1")
+def a11_a12_outcomes(spark, sf):
+    o = Data(spark, sf).orders
+    rows = U.outcomes(o.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("error")), ["run"])
+    mean = o.groupBy(F.col("o_custkey").alias("run")).agg(F.avg("o_totalprice").alias("mean"))
+    return rows.join(mean, "run").withColumn("errors", F.array_join(F.transform("errors", lambda e: F.concat_ws(" ", e["item_id"], e["error"])), "|"))
+
+
+# projections and prompts
+
+
+@query("SELECT o_orderkey, '{\"deal_id\":' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',\"stage\":\"' || o_orderstatus || '\"' END || ',\"priority\":\"' || o_orderpriority || '\"}' AS props, CASE WHEN o_orderstatus = 'P' THEN 'Not identified' ELSE o_orderstatus END AS prompt_stage, 'Deal ' || o_orderkey || ' is ' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END || '.' AS prompt FROM orders")
+def p1_p18_f28_properties(spark, sf):
+    o = Data(spark, sf).orders.withColumn("stage", F.nullif("o_orderstatus", F.lit("P")))
+    return o.select("o_orderkey", X.properties(deal_id=F.col("o_orderkey"), stage=F.col("stage"), priority=F.col("o_orderpriority")).alias("props"), X.or_default(F.col("stage")).alias("prompt_stage"), X.template("Deal {id} is {stage}.", id=F.col("o_orderkey"), stage=F.col("stage")).alias("prompt"))
+
+
+ID = "00000000-0000-5000-8000-"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '{ID}' || lpad(o_orderkey::VARCHAR, 12, '0') END AS opportunity_id, CASE WHEN o_orderstatus = 'P' THEN 'prospecting' ELSE o_orderstatus END AS stage, 'USD' AS currency, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderdate END AS created_at, o_clerk AS metrics, (o_orderkey % 4)::INT AS fit, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS fit_confidence, '{{\"technical_fit\":{{\"score\":' || o_orderkey % 4 || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ',\"confidence\":0.5' END || '}}}}' AS json, NULL::INT AS other FROM (SELECT *, 'clerk' || o_custkey AS o_clerk FROM orders)")
+def p2_p3_p4_p5_typed_rows(spark, sf):
+    k = F.col("o_orderkey")
+    score = F.create_map(F.lit("technical_fit"), F.struct((k % 4).cast("int").alias("score"), F.when(k % 5 != 0, 0.5).alias("confidence"), F.lit(None).cast("string").alias("evidence")))
+    rows = Data(spark, sf).orders.select("o_orderkey", F.lit("t").alias("tenant_id"), F.when(k % 3 == 0, "not an id").otherwise(F.concat(F.lit(ID), F.lpad(k.cast("string"), 12, "0"))).alias("opportunity_id"), F.lit(None).cast("string").alias("name"), F.nullif("o_orderstatus", F.lit("P")).alias("stage"), F.lit(None).cast("string").alias("currency"), F.when(k % 2 == 0, "some day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("created_at"), F.lit(None).cast("long").alias("version"), F.struct(F.concat(F.lit("clerk"), "o_custkey").alias("metrics")).alias("meddic"), score.alias("dimensions"))
+    typed = M.from_rows(rows.withColumn("meddic", F.struct(F.col("meddic.metrics").alias("meddic_metrics"), F.col("o_orderkey"), X.json_or_null(F.col("dimensions")).alias("json"))))
+    return typed.select("o_orderkey", "opportunity_id", "stage", "currency", "created_at", F.col("meddic_metrics").alias("metrics"), F.col("dim_technical_fit").alias("fit"), F.col("dim_technical_fit_confidence").alias("fit_confidence"), "json", F.col("dim_responsiveness").alias("other"))
+
+
+@query(f"WITH {ITEMS} SELECT interaction_id, count_if(impact <= 3) AS new_items, count_if(impact > 3) AS status_updates FROM items GROUP BY 1")
+def p8_split(spark, sf):
+    new, updates = E.split_items(Data(spark, sf).items(False).withColumn("is_status_update", F.col("impact") > 3))
+    count = lambda df, n: df.groupBy("interaction_id").agg(F.count("*").alias(n))
+    both = count(new, "new_items").join(count(updates, "status_updates"), "interaction_id", "full")
+    return both.select("interaction_id", F.coalesce("new_items", F.lit(0).cast("long")).alias("new_items"), F.coalesce("status_updates", F.lit(0).cast("long")).alias("status_updates"))
+
+
+@query("SELECT event_id, '{' || concat_ws(',', CASE WHEN event_type <> 'view' THEN '\"kept\":\"old\"' END, CASE WHEN event_id % 2 = 0 THEN '\"seen\":\"' || event_type || '\"' END) || '}' AS props FROM events")
+def w4_f26_overlay(spark, sf):
+    t = F.col("event_type")
+    old = F.create_map(F.lit("kept"), F.lit("old"))
+    updates = F.map_from_arrays(F.array(F.lit("kept"), F.lit("seen")), F.array(F.when(t != "view", "old"), F.when(F.col("event_id") % 2 == 0, t)))
+    return Data(spark, sf).events.select("event_id", F.to_json(F.map_from_entries(F.sort_array(F.map_entries(X.overlay(old, updates))))).alias("props"))
+
+
+@query("SELECT c_custkey, ((c_acctbal > 0)::INT + (c_custkey % 2 = 0)::INT) / 15.0::DOUBLE AS share FROM customer")
+def f6_merged_share(spark, sf):
+    c = Data(spark, sf).customer
+    merged = F.create_map(F.lit("technical_fit"), F.when(F.col("c_acctbal") > 0, 1), F.lit("unknown"), F.lit(1))
+    existing = F.create_map(F.lit("technical_fit"), F.when(F.col("c_acctbal") > 5000, 1), F.lit("responsiveness"), F.when(F.col("c_custkey") % 2 == 0, 2))
+    return c.select("c_custkey", X.merged_share(merged, existing, S.DIMENSIONS).alias("share"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 AND c_acctbal > 0 THEN c_name ELSE 'the boss' END AS owner, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 AND c_acctbal > 0 THEN 'named' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'role_inferred' ELSE 'unconfirmed' END END AS owner_type FROM orders JOIN customer ON c_custkey = o_custkey")
+def f12_role_owners(spark, sf):
+    d = Data(spark, sf)
+    by = ["account_id", "interaction_id"]
+    items = d.orders.select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("interaction_id"), F.lit("the boss").alias("owner"), F.when(F.col("o_orderkey") % 2 == 0, "role_inferred").otherwise("unconfirmed").alias("owner_type"))
+    people = d.customer.select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name"), "c_acctbal")
+    decided = d.orders.select(F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("interaction_id"), F.lit("the boss").alias("owner"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.9).otherwise(0.7).alias("confidence")).join(people.select("account_id", F.col("name").alias("person")), "account_id")
+    known = people.where("c_acctbal > 0").join(items.select(*by), "account_id").select(*by, "name")
+    return R.role_owners(items, decided, known, by).select(F.col("interaction_id").alias("o_orderkey"), "owner", "owner_type")
+
+
+@query("SELECT o_custkey AS batch_id, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS outputs FROM orders GROUP BY 1")
+def f31_in_order(spark, sf):
+    rows = Data(spark, sf).orders.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("index"), F.col("o_orderpriority").alias("output"))
+    return G.in_order(rows, ["batch_id"], "index", "output").select("batch_id", F.array_join("outputs", ",").alias("outputs"))
+
+
+# more writes
+
+
+@query("SELECT 't' AS tenant_id, c_custkey::VARCHAR AS account_id, CASE WHEN c_custkey % 2 = 0 THEN 'known' WHEN c_custkey % 3 = 0 THEN c_custkey::VARCHAR ELSE c_name END AS name FROM customer")
+def w1_ensure_accounts(spark, sf):
+    c = Data(spark, sf).customer
+    row = lambda name: (F.lit("t").alias("tenant_id"), F.col("c_custkey").cast("string").alias("account_id"), name.alias("name"))
+    old = c.where("c_custkey % 2 = 0").select(*row(F.lit("known")), F.lit("2000-01-01").cast("timestamp").alias("created_at"))
+    return U.ensure_accounts(old, c.select(*row(F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")))), F.lit("2024-01-01")).drop("created_at")
+
+
+@query("WITH k AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS old, o_orderkey % 3 = 0 AS new FROM orders) SELECT id, CASE WHEN old THEN 'first' ELSE 'title' END AS title, CASE WHEN new THEN 7::BIGINT WHEN old THEN 1::BIGINT END AS action_item_count, CASE WHEN old AND new THEN TIMESTAMP '2024-01-01' END AS processed_at FROM k WHERE old OR new")
+def w2_w3_interactions(spark, sf):
+    o = Data(spark, sf).orders.select(F.col("o_orderkey").alias("id"))
+    old = o.where("id % 2 = 0").select("id", F.lit("first").alias("title"), F.lit(1).cast("long").alias("action_item_count"), F.lit(None).cast("timestamp").alias("processed_at"))
+    new = o.where("id % 3 = 0").select("id", F.lit("title").alias("title"), F.lit(7).cast("long").alias("action_item_count"))
+    return U.upsert_interactions(old, new, ["id"], fill=["title"], update=["action_item_count"], now=F.lit("2024-01-01"))
+
+
+@query("WITH seen AS (SELECT o_custkey AS contact_id, o_orderpriority AS opportunity_id, arg_min(o_orderstatus, o_orderkey) AS source FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_orderpriority <> '5-LOW' GROUP BY 1, 2) SELECT contact_id, opportunity_id, CASE WHEN contact_id % 4 = 0 THEN 'known' ELSE source END AS source, (SELECT count(*) FROM seen s WHERE s.opportunity_id = seen.opportunity_id) AS matched FROM seen")
+def w13_engaged_on(spark, sf):
+    d = Data(spark, sf)
+    t = F.lit("t").alias("tenant_id")
+    seen = d.orders.select(t, F.col("o_custkey").alias("contact_id"), F.col("o_orderpriority").alias("opportunity_id"), F.col("o_orderstatus").alias("source"), F.col("o_orderkey").alias("seq"))
+    contacts = d.customer.where("c_acctbal > 0").select(t, F.col("c_custkey").alias("contact_id"))
+    deals = seen.where("opportunity_id != '5-LOW'").select("tenant_id", "opportunity_id").distinct()
+    old = seen.where("contact_id % 4 = 0").join(contacts, ["tenant_id", "contact_id"], "left_semi").join(deals, ["tenant_id", "opportunity_id"], "left_semi").select("tenant_id", "contact_id", "opportunity_id", F.lit("known").alias("source"), F.lit("2000-01-01").cast("timestamp").alias("created_at")).distinct()
+    edges, matched = U.engaged_on(old, seen, contacts, deals, F.lit("2024-01-01"))
+    return edges.join(matched, ["tenant_id", "opportunity_id"]).select("contact_id", "opportunity_id", "source", "matched")
+
+
+@query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders), l AS (SELECT o_custkey AS topic_id, o_orderkey AS item, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS summary, pos FROM o WHERE o_custkey % 2 = 0 AND pos > 1), told AS (SELECT *, coalesce(lag(summary) OVER (PARTITION BY topic_id ORDER BY pos), 'start') AS before FROM l WHERE summary IS NOT NULL), ch AS (SELECT * FROM told WHERE summary <> before) SELECT topic_id::VARCHAR AS topic, 1 + count(*) AS members, 1 + count(ch.item) AS version, coalesce(arg_max(ch.summary, ch.pos), 'start') AS summary, 1 + count(ch.item) AS versions, coalesce(string_agg(ch.before, '|' ORDER BY ch.pos), '') AS snapshots FROM (SELECT o_custkey AS topic_id, o_orderkey AS item FROM o WHERE o_custkey % 2 = 0 AND pos > 1) x LEFT JOIN ch USING (topic_id, item) GROUP BY 1")
+def w9_w18_topics(spark, sf):
+    d = Data(spark, sf)
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = d.orders.withColumn("pos", pos).select(F.lit("t").alias("tenant_id"), F.lit("a").alias("account_id"), F.col("o_orderkey").cast("string").alias("action_item_id"), "pos", F.concat(F.lit("Topic "), "o_custkey").alias("topic_name"), F.when(F.col("pos") == 1, "create_new").otherwise("link_existing").alias("decision"), F.lit(None).cast("string").alias("topic_id"), F.lit(0.9).alias("confidence"), (F.col("o_custkey") % 2 == 0).alias("asked"), F.when(F.col("pos") == 1, F.lit("start")).when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("summary"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit(None).cast("array<float>").alias("new_embedding"), "o_custkey")
+    empty = lambda ddl: spark.createDataFrame([], S.struct(ddl))
+    members = empty("tenant_id string, action_item_id string, topic_id string, confidence double, method string, created_at timestamp")
+    one = T.execute(rows.where("pos = 1").drop("o_custkey"), empty(S.TABLES["topic"]), empty(S.TABLES["topic_version"]), members, "2024-01-01")
+    ids = one.topics.select(F.col("name").alias("topic_name"), F.col("topic_id").alias("_id"))
+    later = rows.where("pos > 1 and o_custkey % 2 = 0").join(ids, "topic_name").withColumn("topic_id", F.col("_id")).drop("_id", "o_custkey")
+    two = T.execute(later, one.topics, one.versions, one.memberships, "2024-02-01")
+    count = two.versions.groupBy("topic_id").agg(F.count("*").alias("versions"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("created_at") > "2024-01-15", F.struct("version_number", "summary")))), lambda x: x["summary"]), "|").alias("snapshots"))
+    return two.topics.where("action_item_count > 1").join(count, "topic_id").select(F.regexp_extract("name", "([0-9]+)", 1).alias("topic"), F.col("action_item_count").alias("members"), "version", "summary", "versions", "snapshots")
+
+
+@query("SELECT least(l_suppkey, l_partkey) AS a, max(l_quantity) > 25 AS strong FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1")
+def w16_related(spark, sf):
+    rows = Data(spark, sf).lineitem.select(F.lit("t").alias("tenant_id"), F.col("l_suppkey").alias("action_item_id"), F.col("l_partkey").alias("vec_id"), F.when(F.col("l_quantity") > 25, 0.9).otherwise(0.2).alias("confidence"))
+    none = rows.limit(0).select("tenant_id", F.col("action_item_id").alias("src_id"), F.col("vec_id").alias("dst_id"), "confidence")
+    return U.relate(none, rows).groupBy("src_id").agg((F.max("confidence") > 0.5).alias("strong")).withColumnRenamed("src_id", "a")
+
+
+# the relational mirror
+
+
+@query(f"WITH {ITEMS}, s AS (SELECT item_id, CASE status WHEN 'open' THEN 'pending' ELSE status END AS status, priority_score, interaction_id % 2 = 0 AS old, interaction_id % 3 = 0 AS new FROM items) SELECT item_id AS graph_action_item_id, CASE WHEN new THEN 'now ' ELSE 'was ' END || item_id AS title, CASE WHEN new THEN status ELSE 'deferred' END AS status, CASE WHEN new THEN priority_score ELSE 0.0 END AS priority_score, CASE WHEN old THEN 'a0' ELSE 'a1' END AS account_id, CASE WHEN old THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '2024-01-01' END AS created_at FROM s WHERE old OR new")
+def w20_item_mirror(spark, sf):
+    items = Data(spark, sf).items(False)
+
+    def rows(df, account, word, status, score, at):
+        t = F.lit(at).cast("timestamp")
+        v = F.array(F.lit(1.0)).cast("array<float>")
+        typed = df.select(F.col("item_id").alias("action_item_id"), F.lit("t").alias("tenant_id"), F.lit(account).alias("account_id"), F.concat(F.lit(word), "item_id").alias("summary"), F.lit("x").alias("action_item_text"), status.alias("status"), F.lit("me").alias("owner"), F.lit(1).alias("version"), v.alias("embedding"), v.alias("embedding_current"), score.alias("priority_score"), F.lit(1.0).alias("confidence"), t.alias("created_at"), t.alias("last_updated_at"))
+        return M.item_rows(typed)
+
+    old = rows(items.where("interaction_id % 2 = 0"), "a0", "was ", F.lit("deferred"), F.lit(0.0), "2000-01-01")
+    new = rows(items.where("interaction_id % 3 = 0"), "a1", "now ", F.col("status"), F.col("priority_score"), "2024-01-01")
+    return M.write("action_items", old, new).select("graph_action_item_id", "title", "status", "priority_score", "account_id", "created_at")
+
+
+@query("WITH m AS (SELECT l_orderkey AS a, l_partkey AS b, max(l_quantity) AS confidence FROM lineitem GROUP BY 1, 2), w AS (SELECT s_nationkey AS n, arg_max(s_suppkey, s_suppkey) AS owner_id, min(s_suppkey) AS first FROM supplier GROUP BY 1) SELECT 'membership' AS kind, a || ':' || b AS key, confidence::VARCHAR AS value FROM m UNION ALL SELECT 'owner', 'name ' || n, owner_id::VARCHAR FROM w UNION ALL SELECT 'topic', p_partkey::VARCHAR, CASE WHEN p_size > 25 THEN 'new new' ELSE 'old' END || ' ' || p_brand FROM part")
+def w22_topic_mirrors(spark, sf):
+    d = Data(spark, sf)
+    t = F.lit("t").alias("tenant_id")
+    li = d.lineitem.select(t, F.col("l_orderkey").alias("action_item_id"), F.col("l_partkey").alias("topic_id"), F.col("l_quantity").alias("confidence"), F.lit("resolved").alias("method"))
+    old = li.where("action_item_id % 2 = 0").select("tenant_id", "action_item_id", "topic_id").distinct().select("*", F.lit(0.0).alias("confidence"), F.lit("extracted").alias("method"))
+    members = M.write("action_item_topic_memberships", old, li, F.col("confidence"))
+    owner = d.supplier.select(t, F.concat(F.lit("name "), "s_nationkey").alias("canonical_name"), F.col("s_suppkey").alias("owner_id"), F.array().cast("array<string>").alias("aliases"))
+    owners = M.write("action_item_owners", owner.groupBy("tenant_id", "canonical_name").agg(F.min("owner_id").alias("owner_id"), F.first("aliases").alias("aliases")), owner, F.col("owner_id"))
+    part = lambda df, word: df.select(F.col("p_partkey").alias("action_item_topic_id"), F.lit(word).alias("name"), F.lit(word).alias("summary"), F.col("p_brand").alias("canonical_name"))
+    topics = M.write("action_item_topics", part(d.part, "old"), part(d.part.where("p_size > 25"), "new"))
+    label = F.when(F.col("name") == "new", F.concat_ws(" ", "name", "summary", "canonical_name")).otherwise(F.concat_ws(" ", "name", "canonical_name"))
+    return members.select(F.lit("membership").alias("kind"), F.concat_ws(":", "action_item_id", "topic_id").alias("key"), F.col("confidence").cast("string").alias("value")).unionAll(owners.select(F.lit("owner"), "canonical_name", F.col("owner_id").cast("string"))).unionAll(topics.select(F.lit("topic"), F.col("action_item_topic_id").cast("string"), label))
+
+
+@query("SELECT o_orderkey || '' AS id, CASE WHEN o_custkey % 2 = 0 THEN 'pg' || o_custkey ELSE 'g' || o_custkey END AS opportunity_id, 1 AS version_number, o_orderpriority AS name FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def w21_w25_version_mirror(spark, sf):
+    d = Data(spark, sf)
+    t = F.lit("t").alias("tenant_id")
+    versions = d.orders.select(t, F.col("o_orderkey").cast("string").alias("version_id"), F.concat(F.lit("g"), "o_custkey").alias("opportunity_id"), F.lit(1).alias("version"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("seq"))
+    known = d.customer.where("c_custkey % 2 = 0").select(t, F.concat(F.lit("pg"), "c_custkey").alias("id"), F.concat(F.lit("g"), "c_custkey").alias("graph_opportunity_id"))
+    rows = M.version_rows(versions, known)
+    return M.write("deal_versions", rows.limit(0).drop("seq"), rows, F.col("seq")).select("id", "opportunity_id", "version_number", "name")
+
+
+@query(f"SELECT 't' AS tenant_id, o_orderkey::VARCHAR AS action_item_id, e.t AS entity_type, e.id AS entity_id FROM orders, (VALUES ('account'), ('interaction'), ('contact')) v(t), LATERAL (SELECT v.t, CASE v.t WHEN 'account' THEN 'a' || o_custkey WHEN 'interaction' THEN '{ID}' || lpad(o_orderkey::VARCHAR, 12, '0') WHEN 'contact' THEN CASE WHEN o_orderkey % 2 = 0 THEN '{ID}' || lpad(o_custkey::VARCHAR, 12, '0') END END AS id) e WHERE e.id IS NOT NULL")
+def w23_w26_links(spark, sf):
+    o, t = Data(spark, sf).orders, F.lit("t").alias("tenant_id")
+    made = lambda c: F.concat(F.lit(ID), F.lpad(F.col(c).cast("string"), 12, "0"))
+    items = o.select(t, F.col("o_orderkey").cast("string").alias("action_item_id"), F.concat(F.lit("a"), "o_custkey").alias("account_id"), made("o_orderkey").alias("source_interaction_id"))
+    contacts = o.select(t, F.col("o_orderkey").cast("string").alias("action_item_id"), F.when(F.col("o_orderkey") % 2 == 0, made("o_custkey")).otherwise("nobody").alias("contact_id"))
+    rows = M.link_rows(items, contacts)
+    return M.write("action_item_links", rows.where("entity_type = 'account'"), rows)
+
+
+# the composite pipelines
+
+DEAL_EVENTS = """
+o AS (SELECT 'a' || o_custkey AS a, o_orderpriority AS n, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS seq,
+ CASE o_orderstatus WHEN 'O' THEN 'proposal' WHEN 'F' THEN 'closed_won' END AS stage, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS amount,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'clerk' || o_orderkey WHEN o_orderkey % 5 = 0 THEN '' END AS metrics, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS given, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 3)::INT END AS fit FROM orders),
+base AS (SELECT 'a' || c_custkey AS a, '1-URGENT' AS n, 0 AS k, 0 AS seq, 'qualification' AS stage, 1.0::DOUBLE AS amount, 'm0' AS metrics, 0 AS given, NULL::INT AS fit FROM customer WHERE c_custkey % 10 = 0),
+e AS (SELECT * FROM o UNION ALL SELECT * FROM base),
+w AS (SELECT *, last_value(metrics IGNORE NULLS) OVER (PARTITION BY a, n ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY a, n ORDER BY seq) AS step FROM e)"""
+
+
+@query(f"WITH {DEAL_EVENTS} SELECT a AS account_id, n AS name, CASE WHEN arg_max(stage, seq) IS NULL THEN 'prospecting' ELSE arg_max(stage, seq) END AS stage, arg_max(amount, seq) AS amount, arg_max(metrics, seq) AS metrics, CASE WHEN max(seq) = 0 THEN 0.5 ELSE arg_max((coalesce(metrics <> '', false) OR coalesce(before <> '', false))::INT, seq) / 6.0 END::DOUBLE AS filled, CASE WHEN max(seq) = 0 THEN 0.0 WHEN count(*) = 1 THEN max(given) * count(fit) ELSE (count(fit) > 0)::INT / 15.0 END::DOUBLE AS scored, arg_max(fit, seq) AS fit, count(*) AS version, string_agg(CASE WHEN seq > 0 AND step = 1 THEN 'made' WHEN seq > 0 THEN 'merged' END, ',' ORDER BY seq) AS routes FROM w GROUP BY 1, 2")
+def c2_deal_pipeline(spark, sf):
+    d = Data(spark, sf)
+    k, n = F.col("o_orderkey"), F.col("o_orderpriority")
+    hot = lambda name: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (F.substring(name, 1, 1).cast("int") == i).cast("float"))
+    kind = "struct<score:int,confidence:double,evidence:string>"
+    none = lambda c: F.lit(None).cast(c)
+    scores = F.when(k % 2 == 0, F.create_map(F.lit("technical_fit"), F.struct(F.when(k % 4 == 0, (k % 3).cast("int")).alias("score"), F.lit(0.5).alias("confidence"), none("string").alias("evidence"))))
+    values = {"tenant_id": F.lit("t"), "account_id": F.concat(F.lit("a"), "o_custkey"), "interaction_id": F.concat(F.lit("i"), k), "deal_idx": F.lit(0), "timestamp": F.col("o_orderdate").cast("timestamp"), "name": n, "opportunity_summary": F.concat(F.lit("deal "), k), "stage": F.when(F.col("o_orderstatus") == "O", "proposal").when(F.col("o_orderstatus") == "F", "closed_won").otherwise("bogus"), "amount": F.when(k % 3 != 0, F.col("o_totalprice")), "confidence": F.lit(0.8), "metrics": F.when(k % 2 == 0, F.concat(F.lit("clerk"), k)).when(k % 5 == 0, ""), "dimensions": scores.cast(f"map<string,{kind}>"), "embedding": hot(n)}
+    extracted = d.orders.select(*[values.get(f.name, none(f.dataType)).cast(f.dataType).alias(f.name) for f in S.struct(D.EXTRACTED)])
+    stored = {"tenant_id": F.lit("t"), "opportunity_id": F.concat(F.lit("old"), "c_custkey"), "account_id": F.concat(F.lit("a"), "c_custkey"), "name": F.lit("1-URGENT"), "stage": F.lit("qualification"), "amount": F.lit(1.0), "meddic_metrics": F.lit("m0"), "meddic_completeness": F.lit(0.5), "ontology_completeness": F.lit(0.0), "version": F.lit(1), "embedding": hot(F.lit("1"))}
+    state = d.customer.where("c_custkey % 10 = 0").select(*[stored.get(f.name, none(f.dataType)).cast(f.dataType).alias(f.name) for f in S.struct(S.TABLES["deal"])])
+    nothing = spark.createDataFrame([], "query_id string, vec_id string, same boolean, confidence double, route string")
+    out = D.run_deals(extracted, state, spark.createDataFrame([], S.struct(S.TABLES["deal_version"])), nothing, "2024-01-01")
+    routes = out.routed.groupBy("opportunity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "match_type"))), lambda x: F.when(x["match_type"] == "create_new", "made").otherwise("merged")), ",").alias("routes"))
+    return out.deals.join(routes, "opportunity_id", "left").select("account_id", "name", "stage", "amount", F.col("meddic_metrics").alias("metrics"), F.col("meddic_completeness").alias("filled"), F.col("ontology_completeness").alias("scored"), F.col("dim_technical_fit").alias("fit"), "version", "routes")
+
+
+@query(f"WITH {DEAL_EVENTS}, last AS (SELECT a, n, max(seq) > 0 AS touched, coalesce(arg_max(stage, seq), 'prospecting') AS stage, arg_max(amount, seq) AS amount FROM w GROUP BY 1, 2) SELECT a || ' ' || n AS graph_opportunity_id, CASE WHEN hash_old THEN 'closed_won' ELSE 'open' END AS deal_status, CASE WHEN touched OR NOT hash_old THEN stage END AS stage, CASE WHEN touched OR NOT hash_old THEN amount END AS amount, CASE WHEN hash_old THEN 'kept' ELSE n END AS opportunity_name, 'USD' AS currency FROM (SELECT *, n = '5-LOW' AS hash_old FROM last)")
+def w19_w24_deal_mirror(spark, sf):
+    deals = c2_deal_pipeline(spark, sf)
+    typed = {"opportunity_id": F.concat_ws(" ", "account_id", "name"), "tenant_id": F.lit("t"), "account_id": F.col("account_id"), "name": F.col("name"), "stage": F.col("stage"), "amount": F.col("amount"), "meddic_metrics": F.col("metrics"), "version": F.col("version")}
+    rows = M.deal_rows(deals.select(*[typed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.struct(S.TABLES["deal"])]))
+    # what users closed stays closed; stage and amount are overwritten, with nulls too
+    old = rows.where("opportunity_name = '5-LOW'").withColumns({"deal_status": F.lit("closed_won"), "stage": F.lit("older"), "amount": F.lit(-1.0), "opportunity_name": F.lit("kept")})
+    return M.write("opportunities", old, rows).select("graph_opportunity_id", "deal_status", "stage", "amount", "opportunity_name", "currency")
+
+
+@query(f"WITH {ITEMS}, y AS (SELECT *, row_number() OVER (PARTITION BY interaction_id ORDER BY item_id, impact, urgency, specificity, status) AS line FROM items), x AS (SELECT * FROM y WHERE status <> 'completed') SELECT interaction_id::VARCHAR AS account_id, line, CASE WHEN line <= 2 AND interaction_id % 3 = 0 THEN CASE WHEN impact > 3 THEN CASE WHEN status = 'open' THEN 'open' ELSE status END ELSE 'open' END ELSE CASE WHEN impact > 3 AND status <> 'open' THEN status ELSE 'open' END END AS status, CASE WHEN line <= 2 AND interaction_id % 3 = 0 THEN CASE WHEN impact > 3 THEN 'stored' ELSE 'seen ' || item_id END ELSE 'seen ' || item_id END AS summary, CASE WHEN line <= 2 AND interaction_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM x UNION ALL SELECT o_orderkey::VARCHAR, v.line, 'open', 'stored', 1 FROM orders, (VALUES (1), (2)) v(line) WHERE o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM x WHERE x.interaction_id = o_orderkey AND x.line = v.line)")
+def c1_c6_item_pipeline(spark, sf):
+    d = Data(spark, sf)
+    hot = lambda line: F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (line == i).cast("float"))
+    items = G.ranked(d.items(False), [F.asc(c) for c in ("item_id", "impact", "urgency", "specificity", "status")], ["interaction_id"], "line")
+    t, account = F.lit("t").alias("tenant_id"), F.col("interaction_id").cast("string").alias("account_id")
+    extracted = items.select(t, account, F.col("interaction_id").cast("string").alias("interaction_id"), F.col("line").alias("item_idx"), F.col("item_id").alias("action_item_text"), F.concat(F.lit("seen "), "item_id").alias("summary"), F.lit("me").alias("owner"), (F.col("impact") > 3).alias("is_status_update"), F.col("status").alias("implied_status"), "confidence", F.col("impact").alias("score_impact"), F.col("urgency").alias("score_urgency"), F.col("specificity").alias("score_specificity"), hot(F.col("line")).alias("embedding"))
+    verdicts = items.where("status = 'completed'").select(t, F.col("interaction_id").cast("string").alias("interaction_id"), F.col("line").alias("item_idx"), F.lit(False).alias("actionable"), F.lit(0.9).alias("adjusted"), F.lit(0).alias("pos"))
+    line = F.explode(F.array(F.lit(1), F.lit(2))).alias("line")
+    stored = {"tenant_id": F.lit("t"), "account_id": F.col("o_orderkey").cast("string"), "action_item_id": F.concat_ws("-", F.lit("old"), "o_orderkey", "line"), "summary": F.lit("stored"), "status": F.lit("open"), "version": F.lit(1), "embedding": hot(F.col("line"))}
+    state = d.orders.where("o_orderkey % 3 = 0").select("o_orderkey", line).select(*[stored.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.struct(S.TABLES["action_item"])])
+    owners = extracted.limit(0).select("tenant_id", "account_id", F.col("owner").alias("canonical_name"), F.array("owner").alias("aliases"))
+    nothing = spark.createDataFrame([], "query_id string, vec_id string, same boolean, confidence double, route string")
+    out = run_items(extracted, verdicts, owners, state, spark.createDataFrame([], S.struct(S.TABLES["action_item_version"])), nothing, "2024-01-01")
+    at = F.array_position("embedding", F.lit(1.0).cast("float"))
+    return out.items.select("account_id", at.alias("line"), "status", "summary", "version")

@@ -12,17 +12,35 @@ from tessera.functions.scalars import contact_label, contact_name, truthy, uuid5
 DETAIL_TYPES = ["EnvelopeV1.transcript", "EnvelopeV1.note", "EnvelopeV1.email", "EnvelopeV1.meeting"]
 
 
+def parsed(df: DataFrame, body: str = "body") -> DataFrame:
+    """Every queue record as an envelope with its body, and the ``reason`` why it is none."""
+    event = F.from_json(F.col(body), S.struct(S.RECORD), {"mode": "PERMISSIVE"})
+    rows = df.select(F.col(body).alias("body"), event.alias("_e"), F.get_json_object(body, "$").isNull().alias("_bad"), F.get_json_object(body, "$.detail").isNull().alias("_bare"))
+    reason = F.when(F.col("_bad"), "invalid JSON").when(F.col("_bare"), "missing detail")
+    return rows.select("_e.detail.*", F.col("_e.detail-type").alias("detail_type"), F.col("_e.source").alias("event_source"), reason.alias("reason"), "body")
+
+
 def parse_records(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(envelopes, rejects) of queue records; a reject has its body and reason."""
-    event = F.from_json(F.col(body), S.struct(S.RECORD), {"mode": "PERMISSIVE"})
-    raw = F.get_json_object(body, "$.detail")
-    parsed = df.withColumn("_e", event).withColumn("_reason", F.when(F.get_json_object(body, "$").isNull(), "invalid JSON").when(raw.isNull(), "missing detail"))
-    good = parsed.where(F.col("_reason").isNull()).select("_e.detail.*", F.col("_e.detail-type").alias("detail_type"), F.col("_e.source").alias("event_source"))
-    return good, parsed.where(F.col("_reason").isNotNull()).select(body, F.col("_reason").alias("reason"))
+    rows = parsed(df, body)
+    return rows.where("reason is null").drop("reason", "body"), rows.where("reason is not null").select(F.col("body").alias(body), "reason")
+
+
+def checked(df: DataFrame, body: str = "body") -> DataFrame:
+    """Every queue record once, parsed and validated, with its reason (null for a good one); one pass over the records,
+    to be filtered after it is kept."""
+    rows = parsed(df, body)
+    return rows.withColumn("reason", F.coalesce("reason", invalid()))
 
 
 def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejects with reason): required fields, enumerations, and a tenant, account and interaction id."""
+    marked = df.withColumn("reason", invalid())
+    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
+
+
+def invalid() -> Column:
+    """Why an envelope is not valid, else null."""
     reason = F.lit(None).cast("string")
     for field in ("account_id", "tenant_id", "user_id", "interaction_type", "timestamp", "source"):
         empty = F.col(field).isNull() if field == "timestamp" else ~truthy(F.col(field))
@@ -30,9 +48,7 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = (("interaction_type", S.INTERACTION_TYPES), ("source", S.SOURCE_TYPES))
     for field, allowed in known:
         reason = F.coalesce(reason, F.when(~F.col(field).isin(allowed), f"unknown {field}"))
-    reason = F.coalesce(reason, F.when(~F.coalesce(F.col("content.format"), F.lit("plain")).isin(S.CONTENT_FORMATS), "unknown format"), F.when(F.col("content.text").isNull(), "missing text"))
-    marked = df.withColumn("reason", reason)
-    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
+    return F.coalesce(reason, F.when(~F.coalesce(F.col("content.format"), F.lit("plain")).isin(S.CONTENT_FORMATS), "unknown format"), F.when(F.col("content.text").isNull(), "missing text"))
 
 
 def event_filter(df: DataFrame, sources: list[str], detail_types: list[str] | None = None) -> DataFrame:
@@ -121,3 +137,41 @@ def missing(found: list[str]) -> list[str]:
 def rejected_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that are not unique."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+
+
+def split_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new items, status updates); an item that does not say counts as new."""
+    update = F.coalesce(F.col("is_status_update"), F.lit(False))
+    return items.where(~update), items.where(update)
+
+
+def text_envelopes(texts: DataFrame, tenant: str, account: str, user: str, kind: str = "note", source: str = "api") -> DataFrame:
+    """Raw texts (text, timestamp) as envelopes of one tenant and account, without contacts or an interaction id."""
+    values = {"schema_version": F.lit("1.0"), "tenant_id": F.lit(tenant), "user_id": F.lit(user), "interaction_type": F.lit(kind), "content": F.struct(F.col("text"), F.lit("plain").alias("format")), "timestamp": F.col("timestamp").cast("timestamp"), "source": F.lit(source), "account_id": F.lit(account)}
+    return texts.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.struct(S.ENVELOPE)])
+
+
+def dispatch(envelopes: DataFrame, pipelines: dict) -> dict[str, dict]:
+    """Run every pipeline (name to a function of the envelopes) on its own; a failure of one is told and does not stop
+    the others. The flags any, both (all) and overall go under "summary"."""
+    out: dict[str, dict] = {}
+    for name, run in pipelines.items():
+        try:
+            out[name] = {"ok": True, "result": run(envelopes), "error": None}
+        except Exception as e:  # noqa: BLE001  each pipeline fails for itself
+            out[name] = {"ok": False, "result": None, "error": str(e) or type(e).__name__}
+    oks = [x["ok"] for x in out.values()]
+    out["summary"] = {"any": any(oks), "both": all(oks), "overall": "success" if all(oks) else "partial" if any(oks) else "failure"}
+    return out
+
+
+def healthy(spark: SparkSession, paths: dict[str, str]) -> dict[str, bool]:
+    """Whether Spark answers and each table can be read."""
+    out = {"spark": spark.range(1).count() == 1}
+    for name, path in paths.items():
+        try:
+            spark.read.parquet(path).limit(1).count()
+            out[name] = True
+        except Exception:  # noqa: BLE001  whatever stands in the way, it is not healthy
+            out[name] = False
+    return out

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.functions.udfs import normal, ratio
-from tessera.operators.resolve import cluster, first_fit, owner_match, resolve_names
+from tessera.operators import vector as V
+from tessera.operators.resolve import cluster, first_fit, inner_keys, outer_keys, owner_match, resolve_names
 
 
 def value(spark, column):
@@ -68,10 +69,46 @@ def test_name_cascade(spark):
 
 
 def test_owner_ranks(spark):
-    owners = spark.createDataFrame([("t", "1", "Peterson", None, "2024-01-02"), ("t", "2", "Ann", ["Peter"], "2024-01-01"), ("u", "3", "Peter", None, "2024-01-01")], "tenant_id string, owner_id string, canonical_name string, aliases array<string>, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    names = spark.createDataFrame([("t", "Peter"), ("t", "Peters"), ("u", "Peter"), ("u", "Zed")], "tenant_id string, name string")
-    got = {(r["tenant_id"], r["name"]): r["owner_id"] for r in owner_match(names, owners).collect()}
-    assert got == {("t", "Peter"): "2", ("t", "Peters"): "1", ("u", "Peter"): "3", ("u", "Zed"): None}
+    owners = spark.createDataFrame([("t", "1", "Peterson", None, "2024-01-02"), ("t", "2", "Ann", ["Peter"], "2024-01-01"), ("u", "3", "Peter", None, "2024-01-01"), ("t", "4", "Liam O'Neill", None, "2024-01-03")], "tenant_id string, owner_id string, canonical_name string, aliases array<string>, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    names = spark.createDataFrame([("t", "Peter"), ("t", "Peters"), ("u", "Peter"), ("u", "Zed"), ("t", " Ann "), ("t", "ann"), ("t", "Liam O\u2019Neill"), ("t", "mr liam o\u2018neill"), ("t", "Li"), ("t", None)], "tenant_id string, name string")
+    got = {(r["tenant_id"], r["name"]): (r["owner_id"], r["rank"]) for r in owner_match(names, owners).collect()}
+    assert got == {("t", "Peter"): ("2", 1), ("t", "Peters"): ("1", 2), ("u", "Peter"): ("3", 0), ("u", "Zed"): (None, None), ("t", " Ann "): ("2", 0), ("t", "ann"): ("2", 2), ("t", "Liam O\u2019Neill"): ("4", 0), ("t", "mr liam o\u2018neill"): (None, None), ("t", "Li"): (None, None), ("t", None): (None, None)}
+
+
+def test_affixes_are_scoped_to_the_account(spark):
+    owners = spark.createDataFrame([("t", "1", "Peterson", None, "2024-01-01"), ("t", "2", "Peter Long", None, "2024-01-02")], "tenant_id string, owner_id string, canonical_name string, aliases array<string>, created_at string")
+    owned = spark.createDataFrame([("t", "b", "2")], "tenant_id string, account_id string, owner_id string")
+    names = spark.createDataFrame([("t", "a", "Peter"), ("t", "b", "Peter"), ("t", None, "Peter"), ("t", "a", "Peterson")], "tenant_id string, account_id string, name string")
+    got = {(r["account_id"], r["name"]): r["owner_id"] for r in owner_match(names, owners, owned).collect()}
+    assert got == {("a", "Peter"): None, ("b", "Peter"): "2", (None, "Peter"): "1", ("a", "Peterson"): "1"}
+
+
+def test_affix_keys_lose_no_match(spark):
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9))).strip() or "a"
+    rows = [(name(), name()) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    meet = lambda x, y: F.arrays_overlap(inner_keys(F.col(x)), outer_keys(F.col(y)))
+    lost = df.where(X.loose_affix_match(F.col("a"), F.col("b")) & ~(meet("a", "b") | meet("b", "a")))
+    assert lost.count() == 0 and df.where(X.loose_affix_match(F.col("a"), F.col("b"))).count() > 50
+
+
+def test_search_in_blocks_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = [[float(x) for x in rng.integers(-2, 3, 4)] for _ in range(90)]
+    index = spark.createDataFrame([(i, i % 2, v) for i, v in enumerate(vectors)], "vec_id long, s int, embedding array<float>")
+    queries = spark.createDataFrame([(i, i % 2, vectors[i]) for i in range(0, 90, 7)] + [(500, None, vectors[0])], "query_id long, s int, query array<float>")
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    expected = {}
+    for q in range(0, 90, 7):
+        scored = sorted((-round(float(unit(vectors[q]) @ unit(vectors[x])), 6), x) for x in range(90) if x % 2 == q % 2)
+        expected[q] = [(x, -s) for s, x in scored if -s >= 0.2][:5]
+    monkeypatch.setattr(V, "INDEX_BLOCK", 11)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 4)
+    got = {}
+    for r in V.search(queries, index, 5, 0.2, ["s"]).orderBy("query_id", F.desc("score"), "vec_id").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: x for q, x in expected.items() if x}
 
 
 def test_contact_labels(spark):
