@@ -160,14 +160,18 @@ def near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
 def index_lists(reps: DataFrame, num: int, den: int) -> DataFrame:
     """A table of the entries of the lists that two sets or more are in: token, doc, vertex, n, reach, and the list's
-    pivot. Most tokens have one set only; their lists go before anything else is made of them."""
+    pivot. Most tokens have one set only; their lists go before anything else is made of them. What is found for each
+    token is written before it is joined back, so that AQE can split a hot token."""
     each = reps.select("doc", "vertex", "n", F.posexplode("prefix").alias("pos", "token"))
-    sizes = each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    lists = saved(each.join(sizes, "token"), "lists")
-    lists = lists.withColumn("reach", F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num).cast("long") - F.col("n"))
+    shared = saved(each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "tokens")
+    held = saved(each.join(shared, "token"), "lists")
+    lists = held.withColumn("reach", F.floor((F.col("n") - F.col("pos")).cast("long") * (num + den) / num).cast("long") - F.col("n"))
     pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "doc", "n", "reach")).alias("p"))
     pivots = pivots.select("token", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.reach").alias("pivot_reach"))
-    return saved(lists.drop("pos").join(pivots, "token"), "entries")
+    pivots = saved(pivots, "pivots")
+    out = saved(lists.drop("pos").join(pivots, "token"), "entries")
+    discard(shared, held, pivots)
+    return out
 
 
 def with_pivots(entries: DataFrame) -> DataFrame:
@@ -187,10 +191,13 @@ def between(entries: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, Dat
     e = e.select("token", "doc", "n", "reach", "pivot", "comp")
     home = F.max(F.when(F.col("doc") == F.col("pivot"), F.col("comp")))
     lists = e.groupBy("token").agg(home.alias("home"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least"), F.max("reach").alias("most")).where("c0 < c1")
-    e = saved(e.join(lists.select("token", "home", "least", "most"), "token"), "mixed")
+    lists = saved(lists.select("token", "home", "least", "most"), "homes")
+    e = saved(e.join(lists, "token"), "mixed")
+    discard(lists)
     probes = e.where("comp != home and least <= reach and n <= most")
-    reached = probes.groupBy("token").agg(F.min("n").alias("p_least"), F.max("reach").alias("p_most"))
-    others = e.join(reached, "token").where("n <= p_most and p_least <= reach and doc != pivot")
+    reached = saved(probes.groupBy("token").agg(F.min("n").alias("p_least"), F.max("reach").alias("p_most")), "reached")
+    others = saved(e.join(reached, "token").where("n <= p_most and p_least <= reach and doc != pivot"), "others")
+    discard(reached)
     x, y = others.select("token", "doc", "n", "reach", "comp", "home").alias("x"), probes.select("token", "doc", "n", "reach", "comp").alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & ((F.col("x.comp") == F.col("x.home")) | (F.col("x.doc") < F.col("y.doc"))))
     first = F.col("x.doc") < F.col("y.doc")
