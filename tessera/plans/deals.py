@@ -36,10 +36,15 @@ KEPT = ["stage", "amount", "opportunity_summary", "evolution_summary", *MEDDIC,
 
 @dataclass
 class DealResult:
+    """The next tables, and what became of each extraction; ``release`` drops what is kept for them."""
+
     deals: DataFrame
     versions: DataFrame
     routed: DataFrame
 
+    def release(self) -> None:
+        self.routed.unpersist()
+
 
 def prepared(extracted: DataFrame) -> DataFrame:
     """Extractions with a name-based id, their place in the account's sequence and the deal table's columns; an unknown

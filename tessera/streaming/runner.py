@@ -184,13 +184,13 @@ def workflows_step(tables: dict[str, SnapshotTable], models: Models, now, told:
         state, versions = (tables[n].read(tag) for n in ("action_item", "action_item_version"))
         out = run_items(models.items(envelopes), models.verdicts(envelopes), models.owners(envelopes), state, versions, models.decisions(envelopes), now)
         write(tag, action_item=out.items, action_item_version=out.versions)
-        out.routed.unpersist()
+        out.release()
 
     def deals(envelopes: DataFrame, tag: str) -> None:
         state, versions = (tables[n].read(tag) for n in ("deal", "deal_version"))
         out = run_deals(models.deals(envelopes), state, versions, models.decisions(envelopes), now)
         write(tag, deal=out.deals, deal_version=out.versions)
-        out.routed.unpersist()
+        out.release()
 
     def step(envelopes: DataFrame, tag: str) -> None:
         found = dispatch(envelopes, {"items": lambda e: items(e, tag), "deals": lambda e: deals(e, tag)})
