@@ -95,3 +95,9 @@ def mentions(words: list[str], *columns: str) -> Column:
 def in_order(rows: DataFrame, by: list[str], index: str, value: str, name: str = "outputs") -> DataFrame:
     """Values of each group as a list in the order of their index, however they came; a group is one batch."""
     return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(index, value))), lambda x: x[value]).alias(name))
+
+
+def durations(steps: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Milliseconds of all steps of each group, and of the longest; a step that has not ended counts nothing."""
+    ms = (F.unix_micros(end) - F.unix_micros(start)) / 1000
+    return steps.groupBy(*by).agg(F.count(end).alias("steps"), F.coalesce(F.sum(ms), F.lit(0.0)).alias("total_ms"), F.max(ms).alias("longest_ms"))

@@ -748,6 +748,19 @@ def f31_in_order(spark, sf):
     return G.in_order(rows, ["batch_id"], "index", "output").select("batch_id", F.array_join("outputs", ",").alias("outputs"))
 
 
+@query("SELECT user_id, count(CASE WHEN event_type <> 'error' THEN 1 END) AS steps, coalesce(sum(CASE WHEN event_type <> 'error' THEN event_id % 1000 END), 0)::DOUBLE AS total_ms, max(CASE WHEN event_type <> 'error' THEN event_id % 1000 END)::DOUBLE AS longest_ms FROM events GROUP BY 1")
+def f3_durations(spark, sf):
+    end = F.timestamp_micros(F.unix_micros("ts") + (F.col("event_id") % 1000) * 1000)
+    rows = Data(spark, sf).events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ended", F.when(F.col("event_type") != "error", end))
+    return G.durations(rows, ["user_id"], "ts", "ended")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS kind, value, ts::TIMESTAMP AS ts FROM events")
+def c5_step_codec(spark, sf):
+    rows = Data(spark, sf).events.select("event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    return E.decoded(E.encoded(rows, "extract"), "extract", "event_id long, kind string, value double, ts timestamp")
+
+
 # more writes
 
 

@@ -97,14 +97,32 @@ def by_manifest(rows: DataFrame, manifest: DataFrame, key: str, order: Column) -
     return rows.join(manifest.select(key).distinct(), key, "left_semi").orderBy(order)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, tenant: str | None = None, **options: str) -> DataFrame:
+#: Sets the tenant of a database session before anything else runs in it.
+TENANT = "SET app.tenant_id = {}"
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, tenant: str | None = None, session: str = TENANT, **options: str) -> DataFrame:
     """A relational table; connection parameters that the driver does not know are removed, the tenant is set first."""
     reader = spark.read.format("jdbc").option("url", clean_url(url)).option("dbtable", table).options(**options)
     if tenant is not None:
-        reader = reader.option("sessionInitStatement", f"SET app.tenant_id = '{tenant.replace(chr(39), chr(39) * 2)}'")
+        reader = reader.option("sessionInitStatement", session.format(quoted(tenant)))
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, tenants: list[str] | None = None, mode: str = "append", session: str = TENANT, **options: str) -> None:
+    """Append rows to a relational table; with ``tenants``, one write for each, in a session of that tenant."""
+    for tenant in tenants if tenants is not None else [None]:
+        rows = df if tenant is None else df.where(F.col("tenant_id") == tenant)
+        writer = rows.write.format("jdbc").option("url", clean_url(url)).option("dbtable", table).options(**options)
+        if tenant is not None:
+            writer = writer.option("sessionInitStatement", session.format(quoted(tenant)))
+        writer.mode(mode).save()
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def clean_url(url: str, drop: tuple[str, ...] = ("channel_binding", "sslmode")) -> str:
     base, _, query = url.partition("?")
     kept = [p for p in query.split("&") if p and p.split("=")[0] not in drop]
@@ -175,3 +193,14 @@ def healthy(spark: SparkSession, paths: dict[str, str]) -> dict[str, bool]:
         except Exception:  # noqa: BLE001  whatever stands in the way, it is not healthy
             out[name] = False
     return out
+
+
+def encoded(df: DataFrame, step: str) -> DataFrame:
+    """The rows of a step as (step, output), output being JSON that keeps nulls and every type that ``decoded`` names."""
+    return df.select(F.lit(step).alias("step"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("output"))
+
+
+def decoded(steps: DataFrame, step: str, ddl: str) -> DataFrame:
+    """The rows of a step as they were encoded."""
+    typed = F.from_json("output", S.struct(ddl), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return steps.where(F.col("step") == step).select(typed.alias("r")).select("r.*")

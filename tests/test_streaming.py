@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas as S
 from tessera.plans import deals as D
-from tessera.sources.envelopes import bootstrap, clean_url, dispatch, extras, healthy, missing, parse_records, read_envelopes, read_transcripts, rejected_duplicates, text_envelopes, validate
+from tessera.sources.envelopes import bootstrap, by_manifest, clean_url, dispatch, extras, healthy, missing, parse_records, read_envelopes, read_jdbc, read_transcripts, rejected_duplicates, text_envelopes, validate, write_jdbc
 from tessera.streaming.runner import KEY, BucketTable, Models, SnapshotTable, merge_interactions, stream, workflows_step
 
 
@@ -107,6 +107,17 @@ def test_raw_text_and_health(spark, tmp_path):
     assert rejected_duplicates(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]).collect() == [(1, 2)]
 
 
+def test_relational_tables(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.createDataFrame([("t", "i1", 2), ("t", "i2", 1), ("o'x", "i3", 3)], "tenant_id string, id string, n int")
+    write_jdbc(rows, url, "meetings", driver=driver)
+    write_jdbc(rows.where("n > 1"), url, "meetings", tenants=["t", "o'x"], session="VALUES {}", driver=driver)
+    read = read_jdbc(spark, url, "meetings", tenant="o'x", session="VALUES {}", driver=driver)
+    assert sorted(r["id"] for r in read.collect()) == ["i1", "i1", "i2", "i3", "i3"]
+    manifest = spark.createDataFrame([("i3",), ("i2",), ("none",)], "id string")
+    assert [r["id"] for r in by_manifest(read, manifest, "id", F.col("n")).collect()] == ["i2", "i3", "i3"]
+
+
 def test_sources(spark, tmp_path):
     good, bad = parse_records(spark.createDataFrame([(record(1, extras={"contacts": [{"name": "A", "email": "a@x", "role": "r"}], "duration_seconds": 60}),)], "body string"))
     row = extras(good).first()
