@@ -870,7 +870,7 @@ def w23_w26_links(spark, sf):
 # the composite pipelines
 
 DEAL_EVENTS = """
-o AS (SELECT 'a' || o_custkey AS a, o_orderpriority AS n, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS seq,
+o AS (SELECT 'a' || o_custkey AS a, o_orderpriority AS n, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey::VARCHAR) AS seq,
  CASE o_orderstatus WHEN 'O' THEN 'proposal' WHEN 'F' THEN 'closed_won' END AS stage, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS amount,
  CASE WHEN o_orderkey % 2 = 0 THEN 'clerk' || o_orderkey WHEN o_orderkey % 5 = 0 THEN '' END AS metrics, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS given, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 3)::INT END AS fit FROM orders),
 base AS (SELECT 'a' || c_custkey AS a, '1-URGENT' AS n, 0 AS k, 0 AS seq, 'qualification' AS stage, 1.0::DOUBLE AS amount, 'm0' AS metrics, 0 AS given, NULL::INT AS fit FROM customer WHERE c_custkey % 10 = 0),
