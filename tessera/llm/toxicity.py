@@ -108,7 +108,7 @@ def train(df: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
     counts = counts.where(F.col("p") + F.col("u") >= min_docs).withColumn("z", z)
     # beyond what the largest of so many chance differences reaches; a word for toxicity stands in a confirmed row
     # twice, and more likely in toxic rows than not
-    least = float(np.sqrt(2 * np.log(max(2, counts.count()))))
+    least = float(np.sqrt(2 * np.log(max(2, counts.where(F.col("p") >= min_docs).count()))))
     toxic = (F.col("p") >= min_docs) & (prior * a >= 0.5 * b)
     best = counts.where((F.abs("z") > least) & ((F.col("z") < 0) | toxic)).orderBy(F.desc(F.abs("z")), "word").limit(n_words)
     words = {bytes(r["word"]): i for i, r in enumerate(best.select("word").collect())}
