@@ -33,10 +33,14 @@ def unit(vectors: list) -> np.ndarray:
     return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = min(a.shape[1], b.shape[1])
+    return a[:, :d] @ b[:, :d].T
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of every row of a with every row of b, to six places."""
-    d = min(a.shape[1], b.shape[1])
-    return np.round(a[:, :d] @ b[:, :d].T, 6) + 0.0
+    return np.round(products(a, b), 6) + 0.0
 
 
 def blocks(n: int, size: int) -> int:
@@ -88,11 +92,10 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10, min_score: float =
         current, has = (unit(list(right["b"])), right["b"].notna().to_numpy()) if two else (None, None)
         names, scopes = left["query_id"].to_numpy(), left["scope"].to_numpy()
         for n in range(0, len(left), 256):
-            part = cosines(queries[n : n + 256], vectors)
+            part = products(queries[n : n + 256], vectors)
             if two:
-                part = np.where(has, np.maximum(part, cosines(queries[n : n + 256], current)), part)
-            if scale == "unit_interval":
-                part = np.round((1 + part) / 2, 6)
+                part = np.where(has, np.maximum(part, products(queries[n : n + 256], current)), part)
+            part = np.round((1 + part) / 2 if scale == "unit_interval" else part, 6) + 0.0
             for row, score in enumerate(part, n):
                 found = best_of(score, ids, k, floor)
                 out += zip([names[row]] * len(found), ids[found].tolist(), score[found].tolist(), [scopes[row]] * len(found), other[found].tolist(), strict=True)

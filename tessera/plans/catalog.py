@@ -518,9 +518,7 @@ def records(d: Data) -> DataFrame:
 
 @query(f"SELECT CASE WHEN broken THEN 'invalid JSON' WHEN bare THEN 'missing detail' WHEN event_id % 3 = 0 THEN 'missing account_id' ELSE 'good' END AS state, count(*) AS n FROM ({RECORDS}) GROUP BY 1")
 def s1_p15_parse_and_gate(spark, sf):
-    good, bad = E.parse_records(records(Data(spark, sf)))
-    ok, invalid = E.validate(good)
-    return bad.select("reason").unionAll(invalid.select("reason")).unionAll(ok.select(F.lit("good").alias("reason"))).groupBy(F.col("reason").alias("state")).agg(F.count("*").alias("n"))
+    return E.checked(records(Data(spark, sf))).groupBy(F.coalesce("reason", F.lit("good")).alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p AS pipeline, p || ':interaction-' || event_id AS workflow_id FROM events, (VALUES ('items'), ('deals')) v(p) WHERE event_id % 7 <> 0 AND event_id % 5 <> 0")
