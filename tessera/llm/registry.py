@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, jaccard, langid, licenses, media, packing, quality, sql, substrings, tokenfile, toxicity
+from tessera.llm import decontam, hardneg, jaccard, langid, licenses, media, mixing, packing, panes, quality, sql, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.query,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": jaccard.query,
     "op9_toxicity": toxicity.query,
     "op10_language_id": langid.query,
+    "op11_hard_negatives": hardneg.query,
+    "op12_panes": panes.query,
+    "op13_mixing": mixing.query,
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op6_decontamination": sql.DECONTAMINATION, "op7_substrings": sql.SUBSTRINGS, "op8_ngram_jaccard": sql.JACCARD}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op6_decontamination": sql.DECONTAMINATION, "op7_substrings": sql.SUBSTRINGS, "op8_ngram_jaccard": sql.JACCARD, "op11_hard_negatives": sql.HARD_NEGATIVES, "op12_panes": sql.PANES}

@@ -40,3 +40,32 @@ r AS (SELECT a AS doc_id, a AS z FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e
 m AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
+
+#: Every anchor against every row, by the integers of their vectors.
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+#: crc32 by its usual table of 256 entries, made here from its polynomial.
+PANES = """
+WITH polynomial AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+k AS (SELECT click_id, ts, coalesce(arrived_at, ts) AS arrived, coalesce(kind, 'none') AS kind, coalesce(floor(100 * CASE WHEN isfinite(value) THEN value END + 0.5), 0)::BIGINT AS cents, coalesce(click_id::VARCHAR, '') AS text FROM clicks WHERE ts IS NOT NULL),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(text) + 1), lambda i: ascii(text[i])::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc, date_diff('day', DATE '1970-01-01', arrived::DATE) AS d FROM k, polynomial),
+e AS (SELECT click_id, kind, cents, ts - to_days((d - ((d % 8 + 8) % 8))::INTEGER) AS et, least(7, (d % 8 + 8) % 8 + greatest(0, crc % 30 - 23)) AS batch FROM c),
+r AS (SELECT *, floor(epoch_us(et) / 3600000000)::BIGINT AS hour, epoch_us(et) AS us FROM (SELECT DISTINCT ON (click_id) * FROM e ORDER BY click_id, et, batch, cents, kind)),
+b AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM (SELECT i AS batch, max(us) AS m FROM range(8) x(i) LEFT JOIN r ON r.batch = i GROUP BY 1)),
+j AS (SELECT r.*, coalesce(b.w >= (hour + 1) * 3600000000 + 4 * 86400000000, false) AS late FROM r JOIN b USING (batch)),
+a AS (SELECT batch, kind, hour, count(*) AS n, sum(cents) AS cents FROM j WHERE NOT late GROUP BY ALL),
+t AS (SELECT batch, kind, hour, sum(n) OVER w AS n, sum(cents) OVER w AS cents, min(batch) OVER (PARTITION BY kind, hour) AS first FROM a WINDOW w AS (PARTITION BY kind, hour ORDER BY batch)),
+u AS (SELECT kind, hour, min(b.batch) AS emitted FROM (SELECT DISTINCT kind, hour, first FROM t) p LEFT JOIN b ON b.batch >= first AND b.w >= (hour + 7) * 3600000000 GROUP BY ALL),
+o AS (SELECT t.*, emitted FROM t JOIN u USING (kind, hour)),
+told AS (
+SELECT batch, hour, click_id, 1 AS n_rows, cents, 'late' AS record, kind FROM j WHERE late
+UNION ALL SELECT coalesce(max(emitted), 7), hour, -1, max_by(n, batch), max_by(cents, batch), CASE WHEN max(emitted) IS NULL THEN 'final' ELSE 'emit' END, kind FROM o WHERE emitted IS NULL OR batch <= emitted GROUP BY kind, hour
+UNION ALL SELECT batch, hour, -1, n, cents, 'replace', kind FROM o WHERE batch > emitted
+UNION ALL SELECT batch, hour, -1, old_n, old_cents, 'retract', kind FROM (SELECT *, lag(n) OVER w AS old_n, lag(cents) OVER w AS old_cents FROM o WINDOW w AS (PARTITION BY kind, hour ORDER BY batch)) WHERE batch > emitted)
+SELECT batch::BIGINT AS batch, hour, coalesce(click_id, -1) AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM told"""
