@@ -203,7 +203,9 @@ def revisions(clicks: DataFrame, batches: int = 8, grace: int = 6 * HOUR, close:
 def run_batch(spark: SparkSession, root: str, number: int, mark: int, last: bool, grace: int, close: int) -> int:
     """Start the query on what is new in the folder, wait for it, and return the latest event time that it saw, in
     shifted milliseconds. Only the last start goes on without data, for the sentinel."""
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": str(last).lower()}
+    # many small stores: none takes disk ahead of its need, and those of earlier starts are closed soon
+    store = "spark.sql.streaming.stateStore"
+    conf = {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.allowFAllocate": "false", f"{store}.maintenanceInterval": "2s", "spark.sql.streaming.noDataMicroBatches.enabled": str(last).lower()}
     with settings(spark, conf):
         new = spark.readStream.schema(ROWS).parquet(f"{root}/in/*").withWatermark("at", "0 seconds").observe("seen", F.max(F.unix_millis("at")).alias("at"))
         panes = bundled(new, mark, close).groupBy("kind", "hour", "lane").transformWithStateInPandas(Panes(grace, close), OUT, "Append", "EventTime")
