@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import U64, as_bytes, in_chunks, mix, saved, word_spans
 from tessera.shipping import ship
 
-#: Words of a block, slots of an output shard, shards of a group whose counts are summed together, rows of a bucket.
-BLOCK, SHARD, GROUP, BUCKET = 128, 1024, 512, 50_000
+#: Words of a block, slots of an output shard, shards of a group whose counts are summed together, rows of a bucket, and
+#: the least number of buckets.
+BLOCK, SHARD, GROUP, BUCKET, BUCKETS = 128, 1024, 512, 50_000, 256
 MAX_SOURCES = 1_000_000
 NO_SOURCE = "no source"
 
@@ -121,7 +122,7 @@ def placed(docs: DataFrame, texts: bool) -> tuple[DataFrame, np.ndarray]:
     if len(kept) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     order = spark.createDataFrame([(r["source"], i) for i, r in enumerate(kept)], "source string, src int")
-    buckets = max(1, -(-sum(r["rows"] for r in kept) // BUCKET))
+    buckets = max(BUCKETS, -(-sum(r["rows"] for r in kept) // BUCKET))
     # the table of sources is small (checked above) and is joined by a key that may be null
     rows = rows.join(order, rows["source"].eqNullSafe(order["source"])).drop(order["source"]).drop("source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th"), F.lit(buckets)).cast("int"))
