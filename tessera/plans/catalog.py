@@ -792,6 +792,11 @@ def w13_engaged_on(spark, sf):
 
 @query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders), l AS (SELECT o_custkey AS topic_id, o_orderkey AS item, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS summary, pos FROM o WHERE o_custkey % 2 = 0 AND pos > 1), told AS (SELECT *, coalesce(lag(summary) OVER (PARTITION BY topic_id ORDER BY pos), 'start') AS before FROM l WHERE summary IS NOT NULL), ch AS (SELECT * FROM told WHERE summary <> before) SELECT topic_id::VARCHAR AS topic, 1 + count(*) AS members, 1 + count(ch.item) AS version, coalesce(arg_max(ch.summary, ch.pos), 'start') AS summary, 1 + count(ch.item) AS versions, coalesce(string_agg(ch.before, '|' ORDER BY ch.pos), '') AS snapshots FROM (SELECT o_custkey AS topic_id, o_orderkey AS item FROM o WHERE o_custkey % 2 = 0 AND pos > 1) x LEFT JOIN ch USING (topic_id, item) GROUP BY 1")
 def w9_w18_topics(spark, sf):
+    return topic_runs(spark, sf)
+
+
+def topic_runs(spark: SparkSession, sf: str, again: bool = False) -> DataFrame:
+    """Topics made by each account's first order and told by its later ones; ``again``: told twice."""
     d = Data(spark, sf)
     pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     rows = d.orders.withColumn("pos", pos).select(F.lit("t").alias("tenant_id"), F.lit("a").alias("account_id"), F.col("o_orderkey").cast("string").alias("action_item_id"), "pos", F.concat(F.lit("Topic "), "o_custkey").alias("topic_name"), F.when(F.col("pos") == 1, "create_new").otherwise("link_existing").alias("decision"), F.lit(None).cast("string").alias("topic_id"), F.lit(0.9).alias("confidence"), (F.col("o_custkey") % 2 == 0).alias("asked"), F.when(F.col("pos") == 1, F.lit("start")).when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("summary"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit(None).cast("array<float>").alias("new_embedding"), "o_custkey")
@@ -801,6 +806,8 @@ def w9_w18_topics(spark, sf):
     ids = one.topics.select(F.col("name").alias("topic_name"), F.col("topic_id").alias("_id"))
     later = rows.where("pos > 1 and o_custkey % 2 = 0").join(ids, "topic_name").withColumn("topic_id", F.col("_id")).drop("_id", "o_custkey")
     two = T.execute(later, one.topics, one.versions, one.memberships, "2024-02-01")
+    if again:
+        two = T.execute(later, two.topics, two.versions, two.memberships, "2024-03-01")
     count = two.versions.groupBy("topic_id").agg(F.count("*").alias("versions"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("created_at") > "2024-01-15", F.struct("version_number", "summary")))), lambda x: x["summary"]), "|").alias("snapshots"))
     return two.topics.where("action_item_count > 1").join(count, "topic_id").select(F.regexp_extract("name", "([0-9]+)", 1).alias("topic"), F.col("action_item_count").alias("members"), "version", "summary", "versions", "snapshots")
 

@@ -48,10 +48,13 @@ class DealResult:
 
 def prepared(extracted: DataFrame) -> DataFrame:
     """Extractions with a name-based id, their place in the account's sequence and the deal table's columns; an unknown
-    stage counts as missing. A redelivered extraction (same id) counts once."""
-    parts = [F.col(c) for c in ("name", "stage", "amount", "opportunity_summary", *S.MEDDIC)]
-    key = F.concat_ws(":", F.lit("deal"), "tenant_id", F.coalesce("interaction_id", F.lit("none")), content_hash(*parts))
-    rows = extracted.withColumn("query_id", uuid5(key)).dropDuplicates(["tenant_id", "query_id"])
+    stage counts as missing. The id is made of all that the extraction says but its index and time; of extractions that
+    are equal in it the first by time and index counts."""
+    parts = [F.to_json(F.col(f.name)) if f.name == "dimensions" else F.col(f.name) for f in S.struct(EXTRACTED) if f.name not in ("tenant_id", "account_id", "interaction_id", "deal_idx", "timestamp")]
+    key = F.concat_ws(":", F.lit("deal"), "tenant_id", F.coalesce("account_id", F.lit("none")), F.coalesce("interaction_id", F.lit("none")), content_hash(*parts))
+    rows = extracted.withColumn("query_id", uuid5(key))
+    first = Window.partitionBy("tenant_id", "query_id").orderBy("timestamp", "deal_idx")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     order = Window.partitionBy("tenant_id", "account_id").orderBy("timestamp", "interaction_id", "deal_idx", "query_id")
     rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("stage", F.when(F.col("stage").isin(S.DEAL_STAGES), F.col("stage")))
     return rows.withColumnsRenamed({m: f"meddic_{m}" for m in S.MEDDIC}).select("*", *dimensions(F.col("dimensions"), S.DIMENSIONS))
@@ -66,7 +69,8 @@ def assign(deals: DataFrame, state: DataFrame, decisions: DataFrame, auto: float
     """
     said = decisions.where(F.col("same") & (F.col("route") == "merge")).groupBy("query_id").agg(F.collect_set("vec_id").alias("same"))
     none = F.lit(None)
-    known = state.select("tenant_id", "account_id", F.lit(0).alias("seq"), F.col("opportunity_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), none.cast("array<string>").alias("same"))
+    # only accounts with a new deal are folded
+    known = state.join(deals.select("tenant_id", "account_id").distinct(), ["tenant_id", "account_id"], "left_semi").select("tenant_id", "account_id", F.lit(0).alias("seq"), F.col("opportunity_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), none.cast("array<string>").alias("same"))
     new = deals.join(said, "query_id", "left").select("tenant_id", "account_id", "seq", F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "same")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -195,12 +195,25 @@ def healthy(spark: SparkSession, paths: dict[str, str]) -> dict[str, bool]:
     return out
 
 
+#: How a step's rows are written as JSON and read again: nulls and microseconds stay.
+CODEC = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def json_row(columns: list[str]) -> Column:
+    """Columns as one JSON object that keeps nulls and every type that ``typed_row`` names."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), CODEC | {"ignoreNullFields": "false"})
+
+
+def typed_row(text: Column, ddl: str) -> Column:
+    """The struct that ``json_row`` wrote."""
+    return F.from_json(text, S.struct(ddl), CODEC)
+
+
 def encoded(df: DataFrame, step: str) -> DataFrame:
-    """The rows of a step as (step, output), output being JSON that keeps nulls and every type that ``decoded`` names."""
-    return df.select(F.lit(step).alias("step"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("output"))
+    """The rows of a step as (step, output), output being JSON."""
+    return df.select(F.lit(step).alias("step"), json_row(df.columns).alias("output"))
 
 
 def decoded(steps: DataFrame, step: str, ddl: str) -> DataFrame:
     """The rows of a step as they were encoded."""
-    typed = F.from_json("output", S.struct(ddl), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-    return steps.where(F.col("step") == step).select(typed.alias("r")).select("r.*")
+    return steps.where(F.col("step") == step).select(typed_row(F.col("output"), ddl).alias("r")).select("r.*")
