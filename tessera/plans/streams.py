@@ -58,7 +58,7 @@ def str_ordered_release(spark, sf):
             released = in_order(spark.readStream.schema(ENVELOPE).parquet(f"{root}/in/*"), "2 hours")
             released.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("seq long, late boolean, id string, body string, tenant_id string, account_id string").parquet(f"{root}/out")
-    return out.select("tenant_id", "account_id", "id", "seq", "late", "body")
+    return out.where("tenant_id != ''").select("tenant_id", "account_id", "id", "seq", "late", "body")
 
 
 @query("""WITH o AS (SELECT o_orderkey % 50 AS k, o_orderkey % 7 AS m FROM orders), e AS (

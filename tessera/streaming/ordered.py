@@ -69,7 +69,9 @@ def in_order(envelopes: DataFrame, hold: str = "1 hour") -> DataFrame:
     ship(envelopes.sparkSession)
     once = envelopes.withWatermark("received_at", hold).dropDuplicatesWithinWatermark(["tenant_id", "id"])
     # the clock goes on as a plain number, so that nothing after this counts as late
-    rows = once.select("tenant_id", "account_id", "at", "id", F.unix_millis("received_at").alias("received"), "body")
+    # (and keys of the state are never null: none counts as empty)
+    key = [F.coalesce(c, F.lit("")).alias(c) for c in ("tenant_id", "account_id")]
+    rows = once.select(*key, F.coalesce("at", F.lit(0).cast("long")).alias("at"), F.coalesce("id", F.lit("")).alias("id"), F.unix_millis("received_at").alias("received"), "body")
     return rows.groupBy("tenant_id", "account_id").transformWithStateInPandas(Release(), RELEASED, "Append", "EventTime")
 
 
