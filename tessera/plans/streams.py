@@ -83,9 +83,9 @@ def c3_durable_steps(spark, sf):
     persist = lambda todo, read: read("extract").join(todo.select("workflow_id"), "workflow_id", "left_semi")
     steps = [Step("extract", extract, "price double"), Step("verify", verify, "fine boolean", fail_open=True), Step("persist", persist, "price double")]
     root = folder(spark, "steps")
-    for run in ("first", "again"):
-        finished, failed = execute(StepLog(spark, root, run), flows, steps, sleep=lambda s: None)
-    log = StepLog(spark, root, "read")
+    log = StepLog(spark, root, "run")
+    for _ in range(2):
+        finished, failed = execute(log, flows, steps, sleep=lambda s: None)
     rows = log.rows("extract").select(F.lit("extract").alias("step"), "attempt", "status")
     for name in ("verify", "persist"):
         rows = rows.unionByName(log.rows(name).select(F.lit(name).alias("step"), "attempt", "status"))

@@ -111,6 +111,7 @@ class Watch(StatefulProcessor):
 
 def watched(events: DataFrame, timeout: float = 900.0) -> DataFrame:
     """(workflow_id, status) of a stream of (workflow_id, event: started or result): finished with its result, or timeout
-    if none came in ``timeout`` seconds since it was last started; it can be started again after that."""
+    if none came in ``timeout`` seconds since it was last started; it can be started again after that. The clock goes on
+    without data too, so an availableNow query over it ends only with noDataMicroBatches switched off."""
     ship(events.sparkSession)
     return events.select("workflow_id", "event").groupBy("workflow_id").transformWithStateInPandas(Watch(timeout), "workflow_id string, status string", "Append", "ProcessingTime")

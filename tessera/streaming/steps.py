@@ -2,8 +2,9 @@
 
 A workflow is a row; a step is one Spark job over all workflows that need it. Each try writes a row for each workflow:
 its output as JSON rows, or its error. Whoever runs the same workflows later, after a failure of any kind, goes on from
-what the log holds: finished steps are read, failed ones are tried again until their tries are used up. A row of the log
-is a workflow's whole output, so a half-written try counts for the workflows whose rows are there.
+what the log holds: finished steps are read, failed ones are tried again until their tries are used up. Tries count
+within a run, so a restarted run has those that are left, and a new run that takes a failed workflow up has all. A row of
+the log is a workflow's whole output, so a half-written try counts for the workflows whose rows are there.
 
 A step fails for one workflow by a value in its ``error`` column, or for all by an exception. At the last try an exception
 is narrowed down by halving the workflows, so that one bad record does not take the others with it.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera import schemas as S
 from tessera.sources.envelopes import json_row, typed_row
 
-LOG = "workflow_id string, attempt int, status string, error string, output array<string>, written_at timestamp"
+LOG = "workflow_id string, run string, attempt int, status string, error string, output array<string>, written_at timestamp"
 
 
 @dataclass
@@ -59,15 +60,15 @@ class StepLog:
         return self.spark.read.schema(S.struct(LOG)).parquet(*[f"{self.path}/{step}/{n}" for n in runs])
 
     def write(self, step: str, rows: DataFrame) -> None:
-        rows.select(*[f.name for f in S.struct(LOG)]).write.mode("append").parquet(f"{self.path}/{step}/{self.run}")
+        rows.withColumn("run", F.lit(self.run)).select(*[f.name for f in S.struct(LOG)]).write.mode("append").parquet(f"{self.path}/{step}/{self.run}")
 
     def state(self, step: str) -> DataFrame:
-        """(workflow_id, tried, finished) of each workflow of the log."""
-        return self.rows(step).groupBy("workflow_id").agg(F.max("attempt").alias("tried"), F.bool_or(F.col("status") != "failed").alias("finished"))
+        """(workflow_id, tried, finished) of each workflow of the log: the tries of this run, an output of any."""
+        return self.rows(step).groupBy("workflow_id").agg(F.max(F.when(F.col("run") == self.run, F.col("attempt"))).alias("tried"), F.bool_or(F.col("status") != "failed").alias("finished"))
 
     def output(self, step: Step) -> DataFrame:
         """The rows that a step gave, with their workflow_id; of several outputs of a workflow the first counts."""
-        first = self.rows(step.name).where("status != 'failed'").groupBy("workflow_id").agg(F.min_by("output", F.struct("attempt", "written_at")).alias("output"))
+        first = self.rows(step.name).where("status != 'failed'").groupBy("workflow_id").agg(F.min_by("output", F.struct("written_at", "attempt")).alias("output"))
         return first.select("workflow_id", F.explode("output").alias("_j")).select("workflow_id", typed_row(F.col("_j"), step.ddl).alias("_r")).select("workflow_id", "_r.*")
 
     def close(self, steps: list[Step]) -> None:
@@ -133,7 +134,7 @@ def execute(log: StepLog, workflows: DataFrame, steps: list[Step], sleep: Callab
             after(step.name)
         state = log.state(step.name)
         lost = alive.select("workflow_id").join(state.where("not finished").select("workflow_id"), "workflow_id", "left_semi")
-        errors = log.rows(step.name).where("status = 'failed'").groupBy("workflow_id").agg(F.max_by("error", "attempt").alias("error"))
+        errors = log.rows(step.name).where("status = 'failed'").groupBy("workflow_id").agg(F.max_by("error", F.struct("written_at", "attempt")).alias("error"))
         failed = failed.unionByName(lost.join(errors, "workflow_id").select("workflow_id", F.lit(step.name).alias("step"), "error"))
         alive = alive.join(state.where("finished").select("workflow_id"), "workflow_id", "left_semi")
     return alive.select("workflow_id"), failed

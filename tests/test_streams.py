@@ -89,15 +89,14 @@ def test_release_in_order_and_late():
     assert got(300) == [(5, "d", False)] and not c.p.waiting.exists() and c.p.last.get() == (5, 40, "d")
 
 
-@pytest.mark.parametrize("how", ["watched"])
-def test_timeouts_in_a_stream(spark, tmp_path, how):
+def test_timeouts_in_a_stream(spark, tmp_path):
     """Real timers: a start without a result runs out, one with a result does not."""
     from tessera.scratch import settings
     from tessera.streaming.ordered import STATE_CONF, watched
 
     (tmp_path / "in").mkdir()
     rows = lambda *x: spark.createDataFrame(list(x), "workflow_id string, event string").write.mode("append").parquet(str(tmp_path / "in"))
-    with settings(spark, STATE_CONF | {"spark.sql.shuffle.partitions": "2"}):
+    with settings(spark, STATE_CONF | {"spark.sql.shuffle.partitions": "2", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         for events in ([("a", "started"), ("b", "started")], [("b", "result"), ("c", "started")]):
             rows(*events)
             q = watched(spark.readStream.schema("workflow_id string, event string").parquet(str(tmp_path / "in")), 0.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
