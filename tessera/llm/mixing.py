@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_bytes, in_chunks, mix, saved, word_spans
+from tessera.llm.common import U64, as_bytes, discard, in_chunks, mix, saved, word_spans
 from tessera.shipping import ship
 
 #: Words of a block, slots of an output shard, shards of a group whose counts are summed together, rows of a bucket, and
-#: the least number of buckets.
-BLOCK, SHARD, GROUP, BUCKET, BUCKETS = 128, 1024, 512, 50_000, 256
+#: the least number of buckets, slots made by a task.
+BLOCK, SHARD, GROUP, BUCKET, BUCKETS, SLOTS = 128, 1024, 512, 50_000, 256, 1 << 20
 MAX_SOURCES = 1_000_000
 NO_SOURCE = "no source"
 
@@ -115,7 +115,7 @@ def placed(docs: DataFrame, texts: bool) -> tuple[DataFrame, np.ndarray]:
     words of the source before the document."""
     spark = docs.sparkSession
     names = ["doc_id", "source", "size", *(["text"] if texts else [])]
-    rows = saved(sized(docs).select(*names, F.xxhash64("text").alias("th")), "sizes")
+    sizes = rows = saved(sized(docs).select(*names, F.xxhash64("text").alias("th")), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
     # a row for each source; bytes compare as code points do
     kept = by_source.orderBy(F.col("source").isNull(), F.col("source").cast("binary")).limit(MAX_SOURCES + 1).collect()
@@ -131,7 +131,9 @@ def placed(docs: DataFrame, texts: bool) -> tuple[DataFrame, np.ndarray]:
     w = Window.partitionBy("src", "bucket").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("size").over(w), F.lit(0))
     out = rows.join(base, ["src", "bucket"]).select("doc_id", "src", "size", start.alias("start"), *(["text"] if texts else []))
-    return saved(out, "starts"), np.array([r["n"] for r in kept], dtype=np.int64)
+    out = saved(out, "starts")
+    discard(sizes)
+    return out, np.array([r["n"] for r in kept], dtype=np.int64)
 
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:
@@ -192,7 +194,13 @@ def slots(spark: SparkSession, sources: Sources, block: int, shard: int, seed: i
                 take = np.where(j == sources.quota[s] - 1, sources.tail[s], block)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), number[i]), pa.int64()), pa.array(j, pa.int64()), pa.array(s, pa.int32()), pa.array(permuted(at, sources.n_blocks[s], key), pa.int64()), pa.array(take, pa.int64())], names=["shard", "slot", "src", "block", "take"])
 
-    return numbered(counts).select("shard", "src", "n", "first").mapInArrow(run, "shard long, slot long, src int, block long, take long")
+    # a row of counts becomes many slots: they are made in as many tasks as slots need, and written, so that the join
+    # knows how large they are
+    tasks = min(-(-sources.slots // shard), max(int(spark.conf.get("spark.sql.shuffle.partitions")), sources.slots // SLOTS))
+    rows = numbered(counts).select("shard", "src", "n", "first").repartition(tasks)
+    out = saved(rows.mapInArrow(run, "shard long, slot long, src int, block long, take long"), "slots")
+    discard(counts)
+    return out
 
 
 def cut(taken: DataFrame, block: int) -> DataFrame:
