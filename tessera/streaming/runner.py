@@ -171,7 +171,8 @@ class Models:
 
 
 def workflows_step(tables: dict[str, SnapshotTable], models: Models, now, told: Callable[[str, dict], None] | None = None) -> Callable[[DataFrame, str], None]:
-    """Both pipelines over a batch's envelopes, each for itself: a failure of one is told and leaves the other's writes.
+    """Both pipelines over a batch's envelopes, each for itself: a failure of one is told and leaves the other's writes;
+    without ``told`` it fails the batch, which is repeated. For tries, receives and dead letters see ``durable``.
     Batches come in order, and within a batch the deals of an account are taken in their time, so an account's
     envelopes take effect in order. ``tables`` has action_item, action_item_version, deal and deal_version."""
 
@@ -196,6 +197,9 @@ def workflows_step(tables: dict[str, SnapshotTable], models: Models, now, told:
         found = dispatch(envelopes, {"items": lambda e: items(e, tag), "deals": lambda e: deals(e, tag)})
         if told is not None:
             told(tag, found)
+        elif not found["summary"]["both"]:
+            # nobody hears of the failure: the batch must not count as done
+            raise RuntimeError("; ".join(f"{n}: {x['error']}" for n, x in found.items() if n != "summary" and x["error"]))
 
     return step
 
