@@ -2,7 +2,7 @@
 
 Native: DataFrame functions only. A text is read in four ways:
 
-* SPDX tags, by their identifier.
+* SPDX tags, by their identifier or expression; one that is not known here is given as written.
 * Passages of license texts and headers (the notice or the opening of each), as spans of words wherever the lines end.
 * Single lines with a cue word that every line template has at least one of.
 * Notices of a few words, as spans inside longer or wrapped lines.
@@ -54,6 +54,7 @@ PASSAGES = [
     ("Apache-2.0", "apache 2.0 compliance", "", "apache", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("Apache-2.0", "apache 2.0 reproduction", "", "apache", "apache license version 2.0 january 2004 http www.apache.org licenses terms and conditions for use reproduction and distribution"),
     ("BSD-3-Clause", "redistribution binary neither endorse", "", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-2-Clause", "redistribution binary reproduce provided express", "neither endorse", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
     ("CC-BY-NC-4.0", "noncommercial 4.0 licensed", "sharealike noderivatives noderivs", "licensed", "licensed under a creative commons attribution noncommercial 4.0 international license"),
     ("CC-BY-NC-4.0", "noncommercial 4.0 firm", "sharealike noderivatives noderivs", "noncommercial", "attribution noncommercial 4.0 international creative commons corporation creative commons is not a law firm and does not provide legal services or legal advice"),
     ("CC0-1.0", "waived neighboring", "", "waived", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
@@ -88,7 +89,7 @@ NOTICES = [
 ]
 #: SPDX identifiers in lower case, without "-only", "-or-later" or "+".
 SPDX = {name.lower(): name for name, *_ in TEMPLATES if name != "Proprietary"}
-TAG = r"spdx-license-identifier\s*:[\s(]*([a-z0-9.-]+)"
+TAG = r"(?i)spdx-license-identifier\s*:\s*([(]*[a-z0-9.+-]+[)]*(?:[ \t]+(?:and|or|with)[ \t]+[(]*[a-z0-9.+-]+[)]*)*)"
 CUE = "licens|rights reserved|public domain|redistribution and use|hereby granted"
 #: Every span has one of these words, on a line of its own or not.
 WIDE = "licens|reserved|domain|granted|redistribution|waived|jurisdictions|noncommercial"
@@ -171,10 +172,21 @@ def in_spans(words: Column, spans: list[tuple[str, str, str, str, str]], rank: i
 
 
 def tagged(text: Column) -> Column:
-    """(rank, score, first, license) of the first SPDX tag that is known, else null."""
-    ids = F.transform(F.regexp_extract_all(F.lower(text), F.lit(TAG), 1), lambda x: F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(SPDX.items()) for x in kv]), F.regexp_replace(x, "-only$|-or-later$", "")))
-    name = F.try_element_at(F.filter(ids, lambda x: x.isNotNull()), F.lit(1))
-    return F.when(name.isNotNull(), F.struct(F.lit(4).alias("rank"), F.lit(1.0).alias("score"), F.lit(0).alias("first"), name.alias("license")))
+    """(rank, score, first, license) of the first SPDX tag, else null. Ids that are known here take their name, others
+    stay as written, so that a tagged file never takes another license from its directory; an expression keeps its
+    operators, in capitals."""
+    known = F.create_map(*[F.lit(x) for kv in sorted(SPDX.items()) for x in kv])
+    said = F.try_element_at(F.regexp_extract_all(text, F.lit(TAG), 1), F.lit(1))
+
+    def word(x: Column) -> Column:
+        name = F.regexp_replace(F.regexp_extract(x, "^[(]*([^()]*)", 1), "[.]+$", "")
+        same = F.try_element_at(known, F.regexp_replace(F.lower(name), "-only$|-or-later$|[+]$", ""))
+        shown = F.when(F.upper(name).isin("AND", "OR", "WITH"), F.upper(name)).otherwise(F.coalesce(same, name))
+        return F.concat(F.regexp_extract(x, "^([(]*)", 1), shown, F.regexp_extract(x, "([)]*)$", 1))
+
+    # parentheses around the whole, closed or not, say nothing
+    name = F.regexp_replace(F.array_join(F.transform(F.split(said, "[ \t]+"), word), " "), "^[(]+([^()]*)[)]*$", "$1")
+    return F.when(F.length(name) > 0, F.struct(F.lit(4).alias("rank"), F.lit(1.0).alias("score"), F.lit(0).alias("first"), name.alias("license")))
 
 
 def detect(df: DataFrame, text: str = "text", least: float = 0.6, templates: list[tuple[str, str]] | None = None, span_least: float = 0.8) -> DataFrame:

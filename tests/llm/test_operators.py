@@ -392,6 +392,29 @@ def test_license_titles_and_sisters(spark):
     assert got == {path: name for path, _, name in rows}
 
 
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+
+
+def test_license_tags_and_the_two_bsd_texts(spark):
+    tag = "# SPDX-License-Identifier: "
+    rows = [("d/LICENSE", "Released under the MIT License.", "MIT"), ("d/a", f"{tag}GPL-2.0-only\n", "GPL-2.0-only"), ("d/b", f"{tag}(GPL-2.0 OR mit)\nx", "GPL-2.0 OR MIT"), ("d/c", f"/* {tag}Apache-2.0 WITH LLVM-exception */", "Apache-2.0 WITH LLVM-exception"), ("d/d", f"{tag}(MIT or ISC) and GPL-3.0+", "(MIT OR ISC) AND GPL-3.0"), ("d/e", f"{tag}(MIT\n", "MIT"), ("d/f", f"{tag}\n", "MIT"), ("d/g", None, "MIT")]
+    rows += [("b2", BSD_2 + AS_IS, "BSD-2-Clause"), ("b3", BSD_2 + BSD_3 + AS_IS, "BSD-3-Clause")]
+    got = {r["path"]: r["license"] for r in licenses.inherit(licenses.detect(spark.createDataFrame([r[:2] for r in rows], "path string, text string"))).collect()}
+    assert got == {path: name for path, _, name in rows}
+
+
 def test_long_license_lines_take_linear_work(spark):
     line = " ".join(words(20_000, 6)) + " licensed under the Apache License, Version 2.0"
     df = licenses.detect(spark.createDataFrame([("a", line)] , "path string, text string"))
