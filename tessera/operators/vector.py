@@ -2,13 +2,18 @@
 
 Search compares whole blocks: queries and vectors are dealt into blocks, each pair of blocks is one matrix product, and
 only its best k per query leave the task; a last ranking joins the blocks. A hot scope is cut into blocks like any other
-rows, so no task holds more than one block of each side.
+rows. Pairs of blocks stream through a task in order: it holds one Arrow batch and the pair of blocks that the batch ends
+in, however many small scopes there are, and small scopes of a batch are compared together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +24,8 @@ from tessera.shipping import ship
 
 #: Rows of a block, of queries and of vectors.
 QUERY_BLOCK, INDEX_BLOCK = 2_000, 20_000
-#: Groups of scopes, by hash: a task takes the blocks of all scopes of one group together.
-SCOPES = 256
+#: Pairs from which two blocks are a matrix product of their own, and components that smaller ones compare at a time.
+PRODUCT, COMPONENTS = 4_096, 4_000_000
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -56,6 +61,85 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np.ndar
     return at[np.lexsort((ids[at], -score[at]))][:k]
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists as rows of unit length in double precision; a zero or missing one stays zero, shorter ones are padded."""
+    n = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(n), int(n.max(initial=0))))
+    out[np.arange(out.shape[1]) < n[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def group_ids(t: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """A number for each run of rows that are equal in the keys (none of them null)."""
+    new = np.zeros(t.num_rows, dtype=bool)
+    for c in keys:
+        new[1:] |= pc.not_equal(t[c].slice(1), t[c].slice(0, max(0, t.num_rows - 1))).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by the keys, cut so that no group is divided: the group that a batch ends in waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = int(np.searchsorted(ids := group_ids(batch, keys), ids[-1]))
+        goes_on = bool(held) and all(held[-1][c][-1].as_py() == batch[c][0].as_py() for c in keys)
+        if held and (start or not goes_on):
+            first = int(np.searchsorted(ids, 0, side="right")) if goes_on else 0
+            yield pa.concat_batches([*held, batch.slice(0, first)])
+            held, batch, start = [], batch.slice(first), start - first
+        if start > 0:
+            yield batch.slice(0, start)
+            batch = batch.slice(start)
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def best_pairs(q: np.ndarray, x: np.ndarray, current: np.ndarray | None, has: np.ndarray | None, gq: np.ndarray, gx: np.ndarray, ids: np.ndarray, k: int, floor: float, scale: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k best vectors of its own group, as places of queries and vectors and their scores. Groups of
+    many pairs are matrix products; the pairs of the others are made together, some at a time."""
+    lo, hi = np.searchsorted(gx, gq), np.searchsorted(gx, gq, side="right")
+    n, first = hi - lo, np.searchsorted(gq, gq)
+    large = n * (np.searchsorted(gq, gq, side="right") - first) >= PRODUCT
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))]
+    final = lambda s: np.round((1 + s) / 2 if scale == "unit_interval" else s, 6) + 0.0
+
+    for start in np.unique(first[large]):
+        own, other = np.flatnonzero(first == start), slice(lo[start], hi[start])
+        for m in range(0, len(own), 256):
+            rows = own[m : m + 256]
+            part = products(q[rows], x[other])
+            if current is not None:
+                part = np.where(has[other], np.maximum(part, products(q[rows], current[other])), part)
+            for row, score in zip(rows, final(part), strict=True):
+                found = best_of(score, ids[other], k, floor)
+                out.append((np.full(len(found), row), found + lo[start], score[found]))
+
+    small = np.flatnonzero(~large & (n > 0))
+    d = min(q.shape[1], x.shape[1])
+    cut = np.cumsum(n[small]) // max(1, COMPONENTS // max(1, d))
+    for rows in np.split(small, np.flatnonzero(np.diff(cut)) + 1) if len(small) else []:
+        count = n[rows]
+        at = np.repeat(rows, count)
+        to = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[rows], count)
+        score = np.einsum("ij,ij->i", q[at, :d], x[to, :d])
+        if current is not None:
+            e = min(q.shape[1], current.shape[1])
+            score = np.where(has[to], np.maximum(score, np.einsum("ij,ij->i", q[at, :e], current[to, :e])), score)
+        score = final(score)
+        ok = np.flatnonzero(score >= floor)
+        at, to, score = at[ok], to[ok], score[ok]
+        order = np.lexsort((ids[to], -score, at))
+        at, to, score = at[order], to[order], score[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append((at[kept], to[kept], score[kept]))
+    at, to, score = (np.concatenate(c) for c in zip(*out, strict=True))
+    return at, to, score
+
+
 def search(queries: DataFrame, index: DataFrame, k: int = 10, min_score: float = 0.7, by: list[str] | None = None, scale: str = "cosine", post_filter: bool = False) -> DataFrame:
     """Top k of ``index`` (vec_id, embedding[, embedding_current], scope columns) for each query (query_id, query), as
     query_id, vec_id, score and the scope columns.
@@ -77,39 +161,28 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10, min_score: float =
     x = index.where(known | F.lit(post_filter)).select(F.lit(1).alias("side"), none.cast(kinds[0]).alias("query_id"), "vec_id", F.col("embedding").cast("array<double>").alias("a"), (F.col("embedding_current") if two else none).cast("array<double>").alias("b"), scope.alias("scope"))
     group = F.lit("") if post_filter else F.col("scope")
     q, x = q.withColumn("g", group), x.withColumn("g", group)
-    # each scope has blocks of its own; small scopes share a task by their hash
+    # each scope has blocks of its own
     sizes = q.groupBy("g").agg(F.count("*").alias("n")).join(x.groupBy("g").agg(F.count("*").alias("m")), "g")
     sizes = sizes.select("g", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("m") / INDEX_BLOCK).cast("int").alias("nx"))
     at = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = q.join(sizes, "g").withColumn("i", at("query_id", "nq")).withColumn("j", span("nx")).unionByName(x.join(sizes, "g").withColumn("j", at("vec_id", "nx")).withColumn("i", span("nq")))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(SCOPES)))
     floor = -np.inf if post_filter else min_score
 
-    def one(left: pd.DataFrame, right: pd.DataFrame, out: list[tuple]) -> None:
-        ids, other = right["vec_id"].to_numpy(), right["scope"].to_numpy()
-        queries, vectors = unit(list(left["a"])), unit(list(right["a"]))
-        current, has = (unit(list(right["b"])), right["b"].notna().to_numpy()) if two else (None, None)
-        names, scopes = left["query_id"].to_numpy(), left["scope"].to_numpy()
-        for n in range(0, len(left), 256):
-            part = products(queries[n : n + 256], vectors)
-            if two:
-                part = np.where(has, np.maximum(part, products(queries[n : n + 256], current)), part)
-            part = np.round((1 + part) / 2 if scale == "unit_interval" else part, 6) + 0.0
-            for row, score in enumerate(part, n):
-                found = best_of(score, ids, k, floor)
-                out += zip([names[row]] * len(found), ids[found].tolist(), score[found].tolist(), [scopes[row]] * len(found), other[found].tolist(), strict=True)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for _, block in pdf.groupby("g", sort=False):
-            side = block["side"].to_numpy()
-            if side.min() == 0 and side.max() == 1:
-                one(block[side == 0], block[side == 1], out)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "scope", "other"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["g", "i", "j"]):
+            side, gid = t["side"].to_numpy(), group_ids(t, ["g", "i", "j"])
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x = t.take(pa.array(right))
+            vectors, ids = matrix(x["a"]), x["vec_id"].to_numpy(zero_copy_only=False)
+            current, has = (matrix(x["b"]), x["b"].is_valid().to_numpy(zero_copy_only=False)) if two else (None, None)
+            at, to, score = best_pairs(matrix(t["a"].take(pa.array(left))), vectors, current, has, gid[left], gid[right], ids, k, floor, scale)
+            q, x = t.take(pa.array(left[at])), x.take(pa.array(to))
+            yield pa.RecordBatch.from_arrays([q["query_id"], x["vec_id"], pa.array(score), q["scope"], x["scope"]], ["query_id", "vec_id", "score", "scope", "other"])
 
     ship(queries.sparkSession)
-    found = rows.groupBy("part", "i", "j").applyInPandas(compare, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double, scope string, other string")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
+    found = rows.mapInArrow(compare, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double, scope string, other string")
     found = top(found, [F.desc("score"), F.asc("vec_id")], k, ["query_id", "scope"]).where((F.col("score") >= min_score) & (F.col("scope") == F.col("other")))
     if not by:
         return found.select("query_id", "vec_id", "score")

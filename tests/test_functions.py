@@ -116,3 +116,54 @@ def test_contact_labels(spark):
     assert value(spark, X.contact_label(c("A", "a@x", "lead"))) == "A <a@x> (lead)"
     assert value(spark, X.contact_label(c("A", None, None))) == "A ()" and value(spark, X.contact_label(c(None, "a@x", "r"))) == "a@x (r)"
     assert value(spark, X.contact_name(c("", None, None))) == "Unknown"
+
+def test_search_of_many_small_scopes_and_a_hot_one(spark, monkeypatch):
+    """100,000 scopes of a few vectors, and one of 30,000: every scope's best, and no task holds more than a batch and
+    the pair of blocks that it ends in."""
+    n = 100_000
+    rows = spark.range(3 * n + 30_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 3 * n, F.floor(F.col("id") / 3)).otherwise(-1).cast("string").alias("s"))
+    rows = rows.withColumn("embedding", F.array(F.lit(1.0), (F.col("vec_id") % 3).cast("double"), F.when(F.col("vec_id") % 1000 == 999, F.lit(None)).otherwise(0.0)))
+    queries = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("query"), F.col("id").cast("string").alias("s")).unionByName(spark.range(3).select((n + F.col("id")).alias("query_id"), F.array(F.lit(1.0), F.lit(1.0)).alias("query"), F.lit("-1").alias("s")))
+    found = V.search(queries, rows, 2, 0.5, ["s"])
+    small = found.where("s != '-1'").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q"), F.min("score").alias("least"), F.sum((F.col("vec_id") % 3).cast("int")).alias("second")).first()
+    missing = sum(1 for i in range(3 * n) if i % 3 != 2 and i % 1000 == 999)
+    assert small["q"] == n and small["least"] >= 0.5 - 1e-9 and small["n"] == 2 * n - missing and small["second"] == n - sum(1 for i in range(1, 3 * n, 3) if i % 1000 == 999)
+    hot = sorted((r.query_id - n, r.vec_id, r.score) for r in found.where("s = '-1'").collect())
+    ones = [i for i in range(3 * n, 3 * n + 30_000) if i % 3 == 1 and i % 1000 != 999][:2]
+    assert hot == [(q, v, 1.0) for q in range(3) for v in ones]
+
+
+def test_whole_groups_keep_groups_together():
+    """However the rows are cut into batches, each group leaves in one piece and all rows leave once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        keys = np.sort(rng.integers(0, rng.integers(1, 12), rng.integers(0, 40)))
+        t = pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys]), pa.array(np.zeros(len(keys), dtype="int32")), pa.array(np.arange(len(keys)))], ["g", "i", "n"])
+        order = np.argsort(np.array([str(k) for k in keys]), kind="stable") if len(keys) else np.zeros(0, dtype=int)
+        t = t.take(pa.array(order))
+        cuts = [0, *np.sort(rng.integers(0, len(keys) + 1, rng.integers(0, 8))).tolist(), len(keys)]
+        pieces = list(V.whole_groups((t.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)), ["g", "i"]))
+        assert [v for p in pieces for v in p["n"].to_pylist()] == t["n"].to_pylist()
+        seen = [g for p in pieces for g in set(p["g"].to_pylist())]
+        assert len(seen) == len(set(seen))
+
+
+@pytest.mark.parametrize("ids", [int, str])
+@pytest.mark.parametrize("product", [1, 10, 10**9])
+def test_best_pairs_by_brute_force(monkeypatch, ids, product):
+    """Both ways, with second vectors, ties and no vectors at all, give what comparing pair by pair gives."""
+    monkeypatch.setattr(V, "PRODUCT", product)
+    monkeypatch.setattr(V, "COMPONENTS", 40)
+    rng = np.random.default_rng(product % 97)
+    gq, gx = np.sort(rng.integers(0, 9, 40)), np.sort(rng.integers(0, 9, 70))
+    half = lambda n: V.unit(list(rng.integers(-1, 2, (n, 3)).astype(float)))
+    q, x, current, has = half(40), half(70), half(70), rng.random(70) < 0.5
+    names = np.array([ids(i) for i in rng.permutation(70)], dtype=object if ids is str else None)
+    at, to, score = V.best_pairs(q, x, current, has, gq, gx, names, 3, 0.2, "cosine")
+    want = []
+    for i in range(40):
+        all_ = [(-round(max(q[i] @ x[j], q[i] @ current[j] if has[j] else -9), 6), names[j], j) for j in range(70) if gx[j] == gq[i]]
+        want += [(i, j, -s) for s, _, j in sorted(all_)[:3] if -s >= 0.2]
+    assert sorted(zip(at.tolist(), to.tolist(), score.round(6).tolist(), strict=True)) == sorted(want)
