@@ -7,10 +7,11 @@ an update is the last one given so far, a version row is the state before an upd
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera import schemas as S
 from tessera.functions.scalars import content_hash, dimensions, reference, truthy, uuid5
 from tessera.operators.upsert import append_absent, with_version
-from tessera.operators.vector import cosines, unit
+from tessera.operators.vector import cosines, group_ids, matrix, whole_groups
 from tessera.shipping import ship
 
 KEY = ["tenant_id", "opportunity_id"]
@@ -73,30 +74,39 @@ def assign(deals: DataFrame, state: DataFrame, decisions: DataFrame, auto: float
     known = state.join(deals.select("tenant_id", "account_id").distinct(), ["tenant_id", "account_id"], "left_semi").select("tenant_id", "account_id", F.lit(0).alias("seq"), F.col("opportunity_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), none.cast("array<string>").alias("same"))
     new = deals.join(said, "query_id", "left").select("tenant_id", "account_id", "seq", F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "same")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "id"])
-        ids, seq, vectors = pdf["id"].to_numpy(), pdf["seq"].to_numpy(), list(pdf["v"])
-        u = unit(vectors)
-        has = np.array([v is not None for v in vectors])
-        stored, out = [i for i in range(len(ids)) if seq[i] == 0 and has[i]], []
-        known = set(ids[seq == 0])
-        for i in np.flatnonzero(seq > 0):
-            to, how, score = ids[i], "create_new", None
-            if to in known:
-                how = "repeated"  # this extraction made the stored deal in an earlier run
-            elif has[i] and stored:
-                near = cosines(u[i : i + 1], u[stored])[0]
-                order = sorted((j for j in range(len(stored)) if near[j] >= floor), key=lambda j: (-near[j], ids[stored[j]]))[:k]
-                sure = order[:1] if order and near[order[0]] >= auto else [j for j in order if pdf["same"].iloc[i] is not None and ids[stored[j]] in pdf["same"].iloc[i]][:1]
-                if sure:
-                    to, how, score = ids[stored[sure[0]]], "auto_match" if near[order[0]] >= auto else "llm_match", float(near[sure[0]])
-            if how == "create_new" and has[i]:
-                stored.append(i)
-            out.append((pdf["tenant_id"].iloc[i], ids[i], to, how, score))
-        return pd.DataFrame(out, columns=["tenant_id", "query_id", "opportunity_id", "match_type", "score"])
-
+    def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(rows, ["tenant_id", "account_id"]):
+            start = np.flatnonzero(np.diff(group_ids(t, ["tenant_id", "account_id"]), prepend=-1))
+            ids, seqs, said = (t[c].to_pylist() for c in ("id", "seq", "same"))
+            u, has = matrix(t["v"]), t["v"].is_valid().to_pylist()
+            at: list[int] = []
+            out: list[tuple] = []
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), t.num_rows], strict=True):
+                stored, known = [i for i in range(lo, hi) if seqs[i] == 0 and has[i]], {ids[i] for i in range(lo, hi) if seqs[i] == 0}
+                for i in range(lo, hi):
+                    if seqs[i] == 0:
+                        continue
+                    to, how, score = ids[i], "create_new", None
+                    if to in known:
+                        how = "repeated"  # this extraction made the stored deal in an earlier run
+                    elif has[i] and stored:
+                        near = cosines(u[i : i + 1], u[stored])[0].tolist()
+                        order = sorted((j for j in range(len(stored)) if near[j] >= floor), key=lambda j: (-near[j], ids[stored[j]]))[:k]
+                        sure = order[:1] if order and near[order[0]] >= auto else [j for j in order if said[i] is not None and ids[stored[j]] in said[i]][:1]
+                        if sure:
+                            to, how, score = ids[stored[sure[0]]], "auto_match" if near[order[0]] >= auto else "llm_match", near[sure[0]]
+                    if how == "create_new" and has[i]:
+                        stored.append(i)
+                    at.append(i)
+                    out.append((to, how, score))
+            left = t.take(pa.array(at, pa.int64()))
+            to, how, score = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([left["tenant_id"], left["id"], pa.array(to, pa.string()), pa.array(how, pa.string()), pa.array(score, pa.float64())], ["tenant_id", "query_id", "opportunity_id", "match_type", "score"])
+
+    # accounts stream through a task in order; it holds one Arrow batch and the account that the batch ends in
     ship(deals.sparkSession)
-    return known.unionByName(new).groupBy("tenant_id", "account_id").applyInPandas(fold, "tenant_id string, query_id string, opportunity_id string, match_type string, score double")
+    rows = known.unionByName(new).repartition("tenant_id", "account_id").sortWithinPartitions("tenant_id", "account_id", "seq", "id")
+    return rows.mapInArrow(fold, "tenant_id string, query_id string, opportunity_id string, match_type string, score double")
 
 
 def share(columns: list[Column]) -> Column:
