@@ -104,3 +104,30 @@ def test_deal_folds_share_batches(spark):
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     counts = found.groupBy((F.col("query_id") % 3).cast("int").alias("k"), "match_type", (F.col("query_id").cast("int") - F.col("opportunity_id").cast("int")).alias("back")).count().collect()
     assert {(w.k, w.match_type, w.back): w["count"] for w in counts} == {(0, "create_new", 0): n, (1, "create_new", 0): n, (2, "auto_match", 2): n}
+
+
+def test_a_try_reads_only_the_failed_rows_of_the_log(spark, tmp_path):
+    """No try compares all workflows with the whole log again, and what a run ends with is read from what it wrote."""
+    from tessera.streaming.steps import Step, StepLog, execute
+
+    whole = []
+
+    class Log(StepLog):
+        def pending(self, step, flows):
+            whole.append(step)
+            return super().pending(step, flows)
+
+    def run(todo, read):
+        calls.append(1)
+        bad = (F.col("workflow_id") == "1") | ((F.col("workflow_id") == "2") & F.lit(len(calls) < 3))
+        return todo.select("workflow_id", F.lit(1).alias("n"), F.when(bad, "no answer").alias("error"))
+
+    calls: list[int] = []
+    flows = spark.range(100).select(F.col("id").cast("string").alias("workflow_id"))
+    log, steps = Log(spark, f"{tmp_path}/log", "r"), [Step("a", run, "n int"), Step("b", lambda todo, read: read("a").join(todo.select("workflow_id"), "workflow_id", "left_semi"), "n int")]
+    for _ in range(2):
+        finished, failed = execute(log, flows, steps, sleep=lambda s: None)
+        assert finished.count() == 99 and finished.where("workflow_id = '1'").isEmpty() and [tuple(r) for r in failed.collect()] == [("1", "a", "no answer")]
+    assert len(calls) == 3 and whole == ["a", "b"]  # of the second start
+    assert {(r["attempt"], r["status"]): r["count"] for r in log.rows("a").groupBy("attempt", "status").count().collect()} == {(1, "done"): 98, (1, "failed"): 2, (2, "failed"): 2, (3, "done"): 1, (3, "failed"): 1}
+    assert not any(f"/{s.name}/r" in f for s in steps for f in [*finished.inputFiles(), *failed.inputFiles()])
