@@ -110,7 +110,11 @@ def s10_published_tables(spark, sf):
     return tables.read("state").join(history, ["tenant_id", "k"]).select("tenant_id", "k", "v", "history")
 
 
-@query(catalog.ORACLES["w9_w18_topics"])
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
+l AS (SELECT o_custkey AS topic_id, o_orderkey AS item, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS summary, pos FROM o WHERE pos > 1),
+told AS (SELECT *, coalesce(lag(summary) OVER (PARTITION BY topic_id ORDER BY pos), 'start') AS before FROM l WHERE summary IS NOT NULL),
+ch AS (SELECT * FROM told WHERE summary <> before)
+SELECT o_custkey::VARCHAR AS topic, count(*) AS members, 1 + count(ch.item) AS version, coalesce(arg_max(ch.summary, ch.pos), 'start') AS summary, 1 + count(ch.item) AS versions, coalesce(string_agg(ch.before, '|' ORDER BY ch.pos), '') AS snapshots FROM o LEFT JOIN ch ON ch.topic_id = o_custkey AND ch.item = o_orderkey GROUP BY 1""")
 def w9_topics_retry(spark, sf):
     """The same resolutions executed twice write what they write once."""
     return catalog.topic_runs(spark, sf, again=True)

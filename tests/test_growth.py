@@ -131,3 +131,11 @@ def test_a_try_reads_only_the_failed_rows_of_the_log(spark, tmp_path):
     assert len(calls) == 3 and whole == ["a", "b"]  # of the second start
     assert {(r["attempt"], r["status"]): r["count"] for r in log.rows("a").groupBy("attempt", "status").count().collect()} == {(1, "done"): 98, (1, "failed"): 2, (2, "failed"): 2, (3, "done"): 1, (3, "failed"): 1}
     assert not any(f"/{s.name}/r" in f for s in steps for f in [*finished.inputFiles(), *failed.inputFiles()])
+
+
+def test_topics_retry_tells_every_account(spark, sf_dir):
+    from tessera.plans.streams import w9_topics_retry
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").cast("string").alias("topic")).agg(F.count("*").alias("members"))
+    got = w9_topics_retry(spark, sf_dir).select("topic", "members")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, orders.collect()))
