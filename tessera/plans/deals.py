@@ -8,18 +8,18 @@ an update is the last one given so far, a version row is the state before an upd
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas as S
 from tessera.functions.scalars import content_hash, dimensions, reference, truthy, uuid5
-from tessera.operators.upsert import append_absent, with_version
+from tessera.operators.upsert import with_version
 from tessera.operators.vector import cosines, group_ids, matrix, whole_groups
+from tessera.scratch import Stages
 from tessera.shipping import ship
 
 KEY = ["tenant_id", "opportunity_id"]
@@ -42,27 +42,45 @@ class DealResult:
     deals: DataFrame
     versions: DataFrame
     routed: DataFrame
+    kept: list[Stages] = field(default_factory=list)
 
     def release(self) -> None:
-        self.routed.unpersist()
+        for stages in self.kept:
+            stages.unpersist()
 
 
-def prepared(extracted: DataFrame) -> DataFrame:
-    """Extractions with a name-based id, their place in the account's sequence and the deal table's columns; an unknown
-    stage counts as missing. The id is made of all that the extraction says but its index and time; of extractions that
-    are equal in it the first by time and index counts."""
+def identified(extracted: DataFrame) -> DataFrame:
+    """Extractions with a name-based id, made of all that the extraction says but its index and time."""
     parts = [F.to_json(F.col(f.name)) if f.name == "dimensions" else F.col(f.name) for f in S.struct(EXTRACTED) if f.name not in ("tenant_id", "account_id", "interaction_id", "deal_idx", "timestamp")]
     key = F.concat_ws(":", F.lit("deal"), "tenant_id", F.coalesce("account_id", F.lit("none")), F.coalesce("interaction_id", F.lit("none")), content_hash(*parts))
-    rows = extracted.withColumn("query_id", uuid5(key))
+    return extracted.withColumn("query_id", uuid5(key))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Of extractions with one id the first by time and index."""
     first = Window.partitionBy("tenant_id", "query_id").orderBy("timestamp", "deal_idx")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def sequenced(rows: DataFrame) -> DataFrame:
+    """Each extraction once, with its place in the account's sequence."""
     order = Window.partitionBy("tenant_id", "account_id").orderBy("timestamp", "interaction_id", "deal_idx", "query_id")
-    rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("stage", F.when(F.col("stage").isin(S.DEAL_STAGES), F.col("stage")))
+    return once(rows).withColumn("seq", F.row_number().over(order))
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """Extractions with the deal table's columns; an unknown stage counts as missing."""
+    rows = rows.withColumn("stage", F.when(F.col("stage").isin(S.DEAL_STAGES), F.col("stage")))
     return rows.withColumnsRenamed({m: f"meddic_{m}" for m in S.MEDDIC}).select("*", *dimensions(F.col("dimensions"), S.DIMENSIONS))
 
 
+def prepared(extracted: DataFrame) -> DataFrame:
+    """Extractions with a name-based id, each once, their place in the account's sequence and the deal table's columns."""
+    return shaped(sequenced(identified(extracted)))
+
+
 def assign(deals: DataFrame, state: DataFrame, decisions: DataFrame, auto: float = S.DEAL_AUTO, floor: float = S.DEAL_CANDIDATE, k: int = 10) -> DataFrame:
-    """(tenant_id, query_id, opportunity_id, match_type, score) of each deal, in sequence within its account.
+    """(tenant_id, query_id, seq, opportunity_id, match_type, score) of each deal, in sequence within its account.
 
     A deal is compared with the account's stored deals and with those made before it. The best of the ``k`` nearest at
     or above ``floor`` is taken at ``auto`` or more; else the first in score order that ``decisions`` (query_id, vec_id,
@@ -70,9 +88,11 @@ def assign(deals: DataFrame, state: DataFrame, decisions: DataFrame, auto: float
     """
     said = decisions.where(F.col("same") & (F.col("route") == "merge")).groupBy("query_id").agg(F.collect_set("vec_id").alias("same"))
     none = F.lit(None)
+    # components travel as they are stored; products are in double precision
+    kind = "array<float>" if all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (deals, state)) else "array<double>"
     # only accounts with a new deal are folded
-    known = state.join(deals.select("tenant_id", "account_id").distinct(), ["tenant_id", "account_id"], "left_semi").select("tenant_id", "account_id", F.lit(0).alias("seq"), F.col("opportunity_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), none.cast("array<string>").alias("same"))
-    new = deals.join(said, "query_id", "left").select("tenant_id", "account_id", "seq", F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "same")
+    known = state.join(deals.select("tenant_id", "account_id").distinct(), ["tenant_id", "account_id"], "left_semi").select("tenant_id", "account_id", F.lit(0).alias("seq"), F.col("opportunity_id").alias("id"), F.col("embedding").cast(kind).alias("v"), none.cast("array<string>").alias("same"))
+    new = deals.join(said, "query_id", "left").select("tenant_id", "account_id", "seq", F.col("query_id").alias("id"), F.col("embedding").cast(kind).alias("v"), "same")
 
     def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(rows, ["tenant_id", "account_id"]):
@@ -101,12 +121,14 @@ def assign(deals: DataFrame, state: DataFrame, decisions: DataFrame, auto: float
                     out.append((to, how, score))
             left = t.take(pa.array(at, pa.int64()))
             to, how, score = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([left["tenant_id"], left["id"], pa.array(to, pa.string()), pa.array(how, pa.string()), pa.array(score, pa.float64())], ["tenant_id", "query_id", "opportunity_id", "match_type", "score"])
+            yield pa.RecordBatch.from_arrays([left["tenant_id"], left["id"], left["seq"], pa.array(to, pa.string()), pa.array(how, pa.string()), pa.array(score, pa.float64())], ["tenant_id", "query_id", "seq", "opportunity_id", "match_type", "score"])
 
     # accounts stream through a task in order; it holds one Arrow batch and the account that the batch ends in
     ship(deals.sparkSession)
-    rows = known.unionByName(new).repartition("tenant_id", "account_id").sortWithinPartitions("tenant_id", "account_id", "seq", "id")
-    return rows.mapInArrow(fold, "tenant_id string, query_id string, opportunity_id string, match_type string, score double")
+    # (dealt by a hash of the key: where both sides of the union are dealt by the key itself, Spark 4.1 leaves the exchange
+    # out, and then coalesces or localises each side for itself, so that an account's rows come apart)
+    rows = known.unionByName(new).repartition(F.xxhash64("tenant_id", "account_id")).sortWithinPartitions("tenant_id", "account_id", "seq", "id")
+    return rows.mapInArrow(fold, "tenant_id string, query_id string, seq int, opportunity_id string, match_type string, score double")
 
 
 def share(columns: list[Column]) -> Column:
@@ -120,10 +142,14 @@ def run_deals(extracted: DataFrame, state: DataFrame, versions: DataFrame, decis
     MEDDIC text overwrites, but does not count as filled, where completeness falls back on the value before. The
     ontology's completeness is over the dimensions given for a new deal, over all of them after an update.
     """
-    deals = prepared(extracted)
-    found = assign(deals, state, decisions)
-    # read many times below: kept, and made again from its inputs if an executor is lost
-    routed = deals.join(found, ["tenant_id", "query_id"]).withColumn("deal_ref", reference(F.col("opportunity_id"))).persist(StorageLevel.DISK_ONLY)
+    put = Stages(extracted.sparkSession, "run-deals")
+    given = put("given", identified(extracted))
+    # only what the order and the choice need is put in order; the rest of an extraction meets it in one exchange
+    deals = put("sequence", sequenced(given.select("tenant_id", "account_id", "interaction_id", "deal_idx", "timestamp", "query_id", "embedding")))
+    found = put("found", assign(deals, state, decisions))
+    routed = put("routed", shaped(once(given.join(found, ["tenant_id", "query_id"]))).withColumn("deal_ref", reference(F.col("opportunity_id"))))
+    for name in ("given", "sequence", "found"):
+        put.drop(name)
     at = F.lit(now).cast("timestamp")
     # one event for the stored state (seq 0) and for each extraction that reached the deal, in sequence
     base = state.join(routed.select(*KEY).distinct(), KEY, "left_semi")
@@ -144,11 +170,11 @@ def run_deals(extracted: DataFrame, state: DataFrame, versions: DataFrame, decis
     state_at = events.select(
         *KEY, "seq", step.alias("_step"), *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in KEPT], *[F.first(c).over(so_far).alias(c) for c in ("account_id", "name", "currency", *[f"{m}_confidence" for m in MEDDIC], "confidence", "source_interaction_id", "deal_ref", "embedding", "created_at", "_old")],
         F.when(F.col("seq") == 0, F.col("meddic_completeness")).otherwise(filled).alias("meddic_completeness"), F.when(F.col("seq") == 0, F.col("ontology_completeness")).when(step == 0, created).otherwise(scored).alias("ontology_completeness"), F.lead("source_interaction_id").over(w).alias("_source"), F.lead("query_id").over(w).alias("_next"))
-    state_at = state_at.withColumn("version", F.greatest(F.col("_old"), F.lit(1)) + F.col("_step"))
-    # the id names the deal and the extraction that changes it, so a retry makes the same row
+    state_at = put("states", state_at.withColumn("version", F.greatest(F.col("_old"), F.lit(1)) + F.col("_step")))
+    # the id names the deal and the extraction that changes it, so a retry makes the same row, and no two are equal here
     snap = state_at.where("_next is not null").select("*", uuid5(F.concat_ws(":", F.lit("deal-version"), "tenant_id", "opportunity_id", "_next")).alias("version_id"), F.col("_source").alias("change_source_interaction_id"), F.col("created_at").alias("valid_from"), at.alias("valid_until"))
-    new_versions = append_absent(versions, snap.select(versions.columns), ["tenant_id", "version_id"])
+    new_versions = versions.unionByName(snap.select(versions.columns).join(versions.select("tenant_id", "version_id"), ["tenant_id", "version_id"], "left_anti"))
     last = state_at.where("_next is null").withColumn("last_updated_at", at)
     untouched = state.join(last.select(*KEY), KEY, "left_anti")
     all_deals = untouched.unionByName(last.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in state.schema]))
-    return DealResult(with_version(all_deals, new_versions, KEY).select(state.columns), new_versions, routed)
+    return DealResult(with_version(all_deals, new_versions, KEY).select(state.columns), new_versions, routed, [put])

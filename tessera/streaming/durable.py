@@ -22,6 +22,7 @@ from tessera.functions.scalars import truthy, workflow_id
 from tessera.operators.upsert import one_row, upsert
 from tessera.plans import deals as D
 from tessera.plans.pipelines import ITEM_KEY, item_ids, run_items
+from tessera.scratch import Stages
 from tessera.sources.envelopes import checked, event_filter, to_interaction
 from tessera.streaming.steps import Step, StepLog, execute
 from tessera.streaming.tables import COMPACT, Tables
@@ -67,7 +68,7 @@ class Kept:
     """Frames that are read many times, on disk until ``release``."""
 
     def __init__(self):
-        self.frames: list[DataFrame] = []
+        self.frames: list[DataFrame | Stages] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.frames.append(df.persist(StorageLevel.DISK_ONLY))
@@ -113,7 +114,7 @@ def deal_pipeline(models, now) -> Pipeline:
         state = kept(of_accounts(tables.read("deal"), envelopes))
         versions = kept(changed(tables.read("deal_version"), state, D.KEY))
         out = D.run_deals(kept(given(read, "extract", envelopes)), state, versions, kept(given(read, "decide", envelopes)), now)
-        kept.frames.append(out.routed)
+        kept.frames += out.kept
         new = out.versions.join(versions.select("tenant_id", "version_id"), ["tenant_id", "version_id"], "left_anti")
         return {"deal": changed(out.deals, out.routed, D.KEY), "deal_version": new}, kept.release
 

@@ -139,3 +139,24 @@ def test_topics_retry_tells_every_account(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").cast("string").alias("topic")).agg(F.count("*").alias("members"))
     got = w9_topics_retry(spark, sf_dir).select("topic", "members")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, orders.collect()))
+
+
+def test_deals_are_read_from_written_stages_and_accounts_stay_whole(spark):
+    """Nothing is kept in the cache, and the deals of an account meet however the exchanges before the fold are merged."""
+    import datetime as dt
+
+    from tessera import schemas as S
+    from tessera.plans.deals import EXTRACTED, run_deals
+
+    names = [f.name for f in S.struct(EXTRACTED)]
+    rows = [{"tenant_id": "t", "account_id": f"a{i % 20}", "interaction_id": f"i{i}", "deal_idx": 0, "timestamp": dt.datetime(2024, 1, 1 + i // 20), "name": "n", "embedding": [1.0, 0.0]} for i in range(60)]
+    deals = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], S.struct(EXTRACTED))
+    stored = [f.name for f in S.struct(S.TABLES["deal"])]
+    state = spark.createDataFrame([tuple({"tenant_id": "t", "opportunity_id": f"o{i}", "account_id": f"a{i}", "version": 1, "embedding": [1.0, 0.0]}.get(n) for n in stored) for i in range(20)], S.struct(S.TABLES["deal"]))
+    none = spark.createDataFrame([], "query_id string, vec_id string, same boolean, confidence double, route string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = run_deals(deals, state, spark.createDataFrame([], S.struct(S.TABLES["deal_version"])), none, "2024-06-01")
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert all("tessera-run-deals" in f for f in out.routed.inputFiles())
+    assert {(r["opportunity_id"], r["match_type"]) for r in out.routed.collect()} == {(f"o{i}", "auto_match") for i in range(20)}
+    assert {(r["opportunity_id"], r["version"]) for r in out.deals.collect()} == {(f"o{i}", 4) for i in range(20)}
