@@ -160,3 +160,21 @@ def test_deals_are_read_from_written_stages_and_accounts_stay_whole(spark):
     assert all("tessera-run-deals" in f for f in out.routed.inputFiles())
     assert {(r["opportunity_id"], r["match_type"]) for r in out.routed.collect()} == {(f"o{i}", "auto_match") for i in range(20)}
     assert {(r["opportunity_id"], r["version"]) for r in out.deals.collect()} == {(f"o{i}", 4) for i in range(20)}
+
+
+def test_items_are_read_from_written_stages_and_made_once(spark):
+    from test_pipelines import DECISIONS, NOW, extracted, items_state, table
+
+    from tessera.plans.pipelines import run_items
+
+    rows = extracted(spark).where("action_item_text = 'new thing'")
+    verdicts = spark.createDataFrame([], "tenant_id string, interaction_id string, item_idx int, actionable boolean, adjusted double, pos int")
+    owners = spark.createDataFrame([], "tenant_id string, account_id string, canonical_name string, aliases array<string>")
+    none, versions = spark.createDataFrame([], DECISIONS), table(spark, "action_item_version", [])
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = run_items(rows.unionByName(rows), verdicts, owners, items_state(spark), versions, none, NOW)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert all("tessera-run-items" in f for f in out.routed.inputFiles()) and out.routed.count() == 2
+    got = sorted((r["summary"], r["owner"], r["version"]) for r in out.items.collect())
+    assert got == [("new", "Zoe", 1), ("s", None, 1)]
+    out.release()
