@@ -178,3 +178,31 @@ def test_items_are_read_from_written_stages_and_made_once(spark):
     got = sorted((r["summary"], r["owner"], r["version"]) for r in out.items.collect())
     assert got == [("new", "Zoe", 1), ("s", None, 1)]
     out.release()
+
+
+def test_accounts_are_released_by_rows_without_data_frames():
+    from pyspark.sql import Row
+
+    from tessera.streaming.ordered import ReleaseRows
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 50
+
+    class Empty(Value):
+        def get(self):
+            return self.rows[0] if self.rows else None
+
+    class Rows(Handle):
+        def getValueState(self, *a):  # noqa: N802
+            return Empty()
+
+    handle, release = Rows(), ReleaseRows()
+    release.init(handle)
+    rows = [Row(at=a, id=i, received=r, body="x") for a, i, r in ((3, "c", 30), (1, "a", 40), (2, "b", 20), (9, "z", 90))]
+    assert list(release.handleInputRows(("t", "a"), iter(rows), None)) == [] and handle.timers == [20]
+    out = list(release.handleExpiredTimer(("t", "a"), Now(), None))
+    assert [(r.seq, r.id, r.late, r.account_id) for r in out] == [(1, "a", False, "a"), (2, "b", False, "a"), (3, "c", False, "a")] and handle.timers == [20, 90]
+    list(release.handleInputRows(("t", "a"), iter([Row(at=0, id="y", received=45, body="x")]), None))
+    assert [(r.seq, r.id, r.late) for r in release.handleExpiredTimer(("t", "a"), Now(), None)] == [(4, "y", True)]
+    assert list(release.handleExpiredTimer(("t", "a"), Now(), None)) == []
