@@ -147,8 +147,9 @@ def run_deals(extracted: DataFrame, state: DataFrame, versions: DataFrame, decis
     # only what the order and the choice need is put in order; the rest of an extraction meets it in one exchange
     deals = put("sequence", sequenced(given.select("tenant_id", "account_id", "interaction_id", "deal_idx", "timestamp", "query_id", "embedding")))
     found = put("found", assign(deals, state, decisions))
+    put.drop("sequence")
     routed = put("routed", shaped(once(given.join(found, ["tenant_id", "query_id"]))).withColumn("deal_ref", reference(F.col("opportunity_id"))))
-    for name in ("given", "sequence", "found"):
+    for name in ("given", "found"):
         put.drop(name)
     at = F.lit(now).cast("timestamp")
     # one event for the stored state (seq 0) and for each extraction that reached the deal, in sequence
